@@ -118,36 +118,29 @@ def cache_write_of(v, path: str) -> Column:
     """struct(value, spelling). Two names for one counter: 1 and 2 are the single names,
     3 both and equal, 4 both and different (value unusable, 0), 0 neither."""
     base = f"{path}." if path else ""
-    a_path, b_path = f"{base}cache_creation_input_tokens", f"{base}cache_write_input_tokens"
-    has_a, has_b = V.at(v, a_path).isNotNull(), V.at(v, b_path).isNotNull()
-    a, b = V.count_of(v, a_path), V.count_of(v, b_path)
-    zero = F.lit(0).cast("bigint")
-    value = (
-        F.when(has_a & has_b, F.when(a == b, a).otherwise(zero))
-        .when(has_a, a).when(has_b, b).otherwise(zero)
-    )
-    spelling = (
-        F.when(has_a & has_b, F.when(a == b, 3).otherwise(4))
-        .when(has_a, 1).when(has_b, 2).otherwise(0)
+    names = (f"{base}cache_creation_input_tokens", f"{base}cache_write_input_tokens")
+    has_a, has_b = [V.at(v, n).isNotNull() for n in names]
+    a, b = [V.count_of(v, n) for n in names]
+    spelling = F.when(has_a & has_b, F.when(a == b, 3).otherwise(4)).otherwise(
+        has_a.cast("int") + 2 * has_b.cast("int")
     )
+    # The absent name counts 0, so the larger one is the value unless the two disagree.
+    value = F.when(has_a & has_b & (a != b), F.lit(0).cast("bigint")).otherwise(F.greatest(a, b))
     return F.struct(value.alias("value"), spelling.cast("int").alias("spelling"))
 
 
 def openai_tokens(v, path: str) -> Column:
-    """Usage whose input includes cache reads, split into new input and cached."""
+    """Usage whose input includes cache reads, as running totals use it: ``whole`` is the input
+    as written, ``cached`` the part of it that was read from cache."""
     base = f"{path}." if path else ""
     whole = V.count_of(v, f"{base}input_tokens")
-    cached = F.least(
-        F.greatest(
-            V.count_of(v, f"{base}cached_input_tokens"),
-            V.count_of(v, f"{base}cache_read_input_tokens"),
-        ),
-        whole,
+    cached = F.greatest(
+        V.count_of(v, f"{base}cached_input_tokens"), V.count_of(v, f"{base}cache_read_input_tokens")
     )
     write = cache_write_of(v, path)
     return F.struct(
-        (whole - cached).alias("input"),
-        cached.alias("cached"),
+        whole.alias("whole"),
+        F.least(cached, whole).alias("cached"),
         write["value"].alias("cache_write"),
         V.count_of(v, f"{base}output_tokens").alias("output"),
         V.count_of(v, f"{base}reasoning_output_tokens").alias("reasoning"),

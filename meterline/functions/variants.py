@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 MAX_LONG = 9223372036854775807
-_NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMERIC_TEXT = r"^\s*\+?((?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
 _RFC3339 = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?"
     r"([Zz]|[+-][0-9]{2}:[0-9]{2})$"
@@ -23,6 +23,10 @@ def at(v, path: str) -> Column:
     return F.try_variant_get(_col(v), f"$.{path}" if path else "$", "variant")
 
 
+def _get(v, path: str, kind: str) -> Column:
+    return F.try_variant_get(_col(v), f"$.{path}" if path else "$", kind)
+
+
 def type_at(v, path: str = "") -> Column:
     """STRING, BIGINT, DOUBLE, DECIMAL(p,s), BOOLEAN, VOID, OBJECT<..>, ARRAY<..> or NULL."""
     return F.schema_of_variant(at(v, path))
@@ -30,9 +34,7 @@ def type_at(v, path: str = "") -> Column:
 
 def text_at(v, path: str) -> Column:
     """The string at ``path``; numbers, objects and nulls there count as absent."""
-    return F.when(
-        type_at(v, path) == "STRING", F.try_variant_get(_col(v), f"$.{path}", "string")
-    )
+    return F.when(type_at(v, path) == "STRING", _get(v, path, "string"))
 
 
 def filled_at(v, path: str) -> Column:
@@ -45,100 +47,72 @@ def trimmed_at(v, path: str) -> Column:
     return F.nullif(F.btrim(text_at(v, path), F.lit(" \t\r\n")), F.lit(""))
 
 
-def is_object(v, path: str) -> Column:
-    return F.coalesce(type_at(v, path).startswith("OBJECT"), F.lit(False))
+def map_at(v, path: str) -> Column:
+    """The object at ``path`` as a map, NULL for anything else."""
+    return _get(v, path, "map<string,variant>")
 
 
-def is_array(v, path: str) -> Column:
-    return F.coalesce(type_at(v, path).startswith("ARRAY"), F.lit(False))
+def array_at(v, path: str) -> Column:
+    """The array at ``path``, NULL for anything else."""
+    return _get(v, path, "array<variant>")
 
 
-def array_at(v, path: str) -> Column:
-    return F.when(
-        is_array(v, path), F.try_variant_get(_col(v), f"$.{path}", "array<variant>")
-    )
+def is_object(v, path: str) -> Column:
+    return map_at(v, path).isNotNull()
 
 
-def map_at(v, path: str) -> Column:
-    return F.when(
-        is_object(v, path), F.try_variant_get(_col(v), f"$.{path}", "map<string,variant>")
-    )
+def is_array(v, path: str) -> Column:
+    return array_at(v, path).isNotNull()
 
 
-def _is_number(kind: Column) -> Column:
-    return (kind == "BIGINT") | (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL")
+def is_null(v, path: str) -> Column:
+    """Absent, or an explicit JSON null."""
+    return F.coalesce(type_at(v, path) == "VOID", F.lit(True))
 
 
 def number_at(v, path: str) -> Column:
     """The JSON number at ``path`` as double; numeric text is absent here."""
-    return F.when(
-        _is_number(type_at(v, path)), F.try_variant_get(_col(v), f"$.{path}", "double")
-    )
+    return F.when(type_at(v, path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), _get(v, path, "double"))
 
 
 def long_at(v, path: str) -> Column:
     """The JSON integer at ``path``; fractions and text are absent."""
-    return F.when(
-        type_at(v, path) == "BIGINT", F.try_variant_get(_col(v), f"$.{path}", "bigint")
-    )
+    return F.when(type_at(v, path) == "BIGINT", _get(v, path, "bigint"))
 
 
 def bool_at(v, path: str) -> Column:
-    return F.when(
-        type_at(v, path) == "BOOLEAN", F.try_variant_get(_col(v), f"$.{path}", "boolean")
-    )
-
-
-def _whole(x: Column) -> Column:
-    return F.when((x >= 0) & (x <= F.lit(float(MAX_LONG))), F.floor(x))
+    return F.when(type_at(v, path) == "BOOLEAN", _get(v, path, "boolean"))
 
 
 def count_of_text(text) -> Column:
-    """Numeric text to a whole count; anything unreadable or negative is 0."""
-    t = F.btrim(_col(text), F.lit(" \t\r\n"))
-    exact = F.when(t.rlike(r"^\+?[0-9]+$"), t.try_cast("bigint"))
-    loose = F.when(t.rlike(_NUMERIC_TEXT), _whole(t.try_cast("double")))
-    return F.coalesce(exact, loose, F.lit(0).cast("bigint"))
+    """Numeric text to a whole count; anything unreadable, negative or too large is 0.
 
+    Plain digits take the long path and stay exact; other forms go through a decimal.
+    """
+    t = _col(text)
+    digits = F.regexp_extract(t, _NUMERIC_TEXT, 1)
+    whole = F.floor(digits.try_cast("decimal(38,10)")).try_cast("bigint")
+    return F.greatest(F.coalesce(t.try_cast("bigint"), whole), F.lit(0).cast("bigint"))
 
-def count_of(v, path: str) -> Column:
-    """A token count: number or numeric text, floored; anything else is 0.
 
-    Whole JSON numbers stay exact above 2^53.
-    """
-    kind = type_at(v, path)
-    whole = F.try_variant_get(_col(v), f"$.{path}", "bigint")
-    return (
-        F.when(kind == "BIGINT", F.greatest(whole, F.lit(0).cast("bigint")))
-        .when(
-            _is_number(kind),
-            F.coalesce(
-                _whole(F.try_variant_get(_col(v), f"$.{path}", "double")),
-                F.lit(0).cast("bigint"),
-            ),
-        )
-        .when(kind == "STRING", count_of_text(F.try_variant_get(_col(v), f"$.{path}", "string")))
-        .otherwise(F.lit(0).cast("bigint"))
-    )
+def count_of(v, path: str) -> Column:
+    """A token count: number or numeric text, floored; anything else is 0."""
+    return count_of_text(_get(v, path, "string"))
 
 
 def rfc3339_ms(text) -> Column:
     """Epoch ms of an RFC 3339 text. Text without a zone is unreadable, not local time."""
-    t = F.upper(_col(text))
-    return F.when(t.rlike(_RFC3339), F.unix_millis(t.try_cast("timestamp")))
+    shaped = F.regexp_extract(_col(text), _RFC3339, 0)
+    return F.unix_millis(F.upper(shaped).try_cast("timestamp"))
 
 
 def epoch_ms(number) -> Column:
     """Numbers below 1e11 are seconds, above are milliseconds; nothing at or below zero."""
     n = _col(number)
-    sane = (n > 0) & (n <= F.lit(float(MAX_LONG)))
-    return F.when(
-        sane,
-        F.when(n < 100_000_000_000.0, (n * 1000.0).try_cast("bigint")).otherwise(
-            n.try_cast("bigint")
-        ),
-    )
+    ms = F.when(n < 100_000_000_000.0, n * 1000.0).otherwise(n)
+    return F.when(n > 0, ms.try_cast("bigint"))
 
 
 def ts_ms(v, path: str) -> Column:
+    """A time at ``path``: a number, or text with a zone."""
     return F.coalesce(epoch_ms(number_at(v, path)), rfc3339_ms(text_at(v, path)))

@@ -110,8 +110,8 @@ def snapshot_ledger(snapshots: DataFrame, zone: str = "UTC", width: int = DAY_MS
             F.struct(
                 "path", *COUNTERS, "created_at", "model", "project",
             )
-        ).alias("s")
-    ).select("session", "ts", "s.*")
+        ).alias("_snap")
+    ).select("session", "ts", "_snap.*")
     rows = with_previous(once, ["session"], ["ts"], [*COUNTERS, "ts"], "prev", width)
     fell = (
         (F.col("c_input") < F.col("prev.c_input"))

@@ -22,8 +22,8 @@ def _order(order: Sequence[str]) -> Column:
 
 
 def _sliced(df: DataFrame, order: Sequence[str], width: int) -> DataFrame:
-    position = F.col(order[0])
-    return df.withColumn(_SLICE, ((position - F.pmod(position, F.lit(width))) / F.lit(width)).cast("bigint"))
+    at = order[0]
+    return df.withColumn(_SLICE, F.expr(f"({at} - pmod({at}, {width})) div {width}"))
 
 
 def _within(keys: Sequence[str], order: Sequence[str]):

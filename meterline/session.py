@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_session(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on. Calendar maths assumes a UTC session."""
+    """Pin the settings results depend on: calendar maths assumes a UTC session, and a JSON
+    record that repeats a key keeps the last value instead of being unreadable."""
+    if spark.conf.get("spark.sql.variant.allowDuplicateKeys", "false") != "true":
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark

@@ -36,10 +36,9 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def event_kind(kind, v) -> Column:
+def kind_of(kind, role, level, status, item) -> Column:
     """The timeline kind of a record type; '' has none, unseen types are 'unknown'."""
-    t = _c(kind)
-    role = V.trimmed_at(v, "role")
+    t, role, level, status, item = [_c(x) for x in (kind, role, level, status, item)]
     message = t == "message"
     has = lambda word: t.contains(word)
     user = t.isin(*USER_TYPES) | has("user_message") | (message & (role == "user"))
@@ -47,25 +46,33 @@ def event_kind(kind, v) -> Column:
         t.isin(*ASSISTANT_TYPES) | has("assistant_message") | has("agent_message")
         | (message & (role == "assistant"))
     )
-    system = message & role.isin("system", "developer")
     output = has("tool_result") | has("tool_output") | t.isin(*OUTPUT_TYPES)
     call = (has("tool_call") & ~output) | t.isin(*CALL_TYPES)
-    patch = has("patch_apply") | has("apply_patch")
-    error = (t == "error") | (V.trimmed_at(v, "level") == "error") | (V.trimmed_at(v, "status") == "failed")
-    executed = (t == "item_completed") & (V.text_at(v, "item.type") == "CommandExecution")
-    yes = lambda test: F.coalesce(test, F.lit(False))
     return (
         F.when(t == "session_meta", "meta").when(t == "turn_context", "context")
         .when(t == "token_count", "usage").when(t == "thread_settings_applied", "settings")
-        .when(yes(executed), "exec_exit").when(t == "task_started", "start")
+        .when((t == "item_completed") & (item == "CommandExecution"), "exec_exit").when(t == "task_started", "start")
         .when(t.isin("task_complete", "task_completed"), "end")
-        .when(yes(user), "user").when(yes(assistant), "assistant").when(yes(system), "system")
-        .when(t.isin(*REASONING_TYPES), "reasoning").when(yes(call), "tool_call")
-        .when(yes(output), "tool_output").when(yes(patch), "patch").when(yes(error), "error")
+        .when(user, "user").when(assistant, "assistant").when(message & role.isin("system", "developer"), "system")
+        .when(t.isin(*REASONING_TYPES), "reasoning").when(call, "tool_call").when(output, "tool_output")
+        .when(has("patch_apply") | has("apply_patch"), "patch")
+        .when((t == "error") | (level == "error") | (status == "failed"), "error")
         .when(t.isin(*NOTICE_TYPES), "notice").when(t == "", "none").otherwise("unknown")
     )
 
 
+def kind_facts(v) -> dict[str, Column]:
+    """The fields of a record body that decide its kind, for :func:`kind_of`."""
+    return {
+        "role": V.trimmed_at(v, "role"), "level": V.trimmed_at(v, "level"),
+        "said": V.trimmed_at(v, "status"), "item_type": V.text_at(v, "item.type"),
+    }
+
+
+def event_kind(kind, v) -> Column:
+    return kind_of(kind, *kind_facts(v).values())
+
+
 def _compact(v, path: str) -> Column:
     present = V.at(v, path)
     return F.coalesce(V.text_at(v, path), F.when(present.isNotNull(), F.to_json(present)))

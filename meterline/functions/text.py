@@ -25,8 +25,9 @@ def _codes(text, pattern: str) -> Column:
 
 
 def _worst(codes: Column) -> Column:
-    bad = F.array_max(F.filter(codes, lambda x: x != 0))
-    return F.coalesce(bad, F.array_max(codes))
+    """The largest failure, else the largest code."""
+    ranked = F.transform(codes, lambda x: F.struct((x != 0).alias("bad"), x.alias("code")))
+    return F.array_max(ranked)["code"]
 
 
 # The line forms in which an exit code or a signal is reported.

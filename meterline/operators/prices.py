@@ -56,8 +56,8 @@ def price_problems(head: DataFrame, rates: DataFrame, aliases: DataFrame) -> Dat
         .count().where("count > 1")
     )
     priced = rates.select(F.col("model").alias("priced")).dropDuplicates()
-    to_model = aliases.join(priced, aliases.model == priced.priced, "left")
-    shadow = aliases.where("alias != model").join(priced, aliases.alias == priced.priced)
+    to_model = aliases.join(priced, aliases["model"] == priced["priced"], "left")
+    shadow = aliases.where("alias != model").join(priced, aliases["alias"] == priced["priced"])
     no_fx = F.col("usd_cny").isNull()
     wants_fx = (F.col("currency") == "CNY") | (F.col("display_currency") == "CNY")
     checks = [

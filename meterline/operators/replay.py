@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import records as D, scalars as S, text as T, variants as V
+from ..session import store
 from .ordered import LINES_PER_SLICE, with_carried, with_previous, with_running_sum, with_run_id
 from .tree import resolve_roots
 
@@ -22,30 +23,33 @@ _FILE, _LINE = ["path"], ["line"]
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """Parsed lines with the fields every replay job needs: kind, turn, time, event body ``e``."""
-    rows = lines.withColumn("v", V.parse("value")).where("v IS NOT NULL").drop("value")
-    outer = F.coalesce(V.text_at("v", "type"), F.lit(""))
-    wrapped = outer.isin("event_msg", "response_item")
-    rows = rows.withColumn("_outer", outer).withColumn(
-        "e", F.when(wrapped, V.at("v", "payload")).otherwise(F.col("v"))
-    )
-    inner = F.when(F.col("_outer").isin("session_meta", "turn_context"), F.col("_outer")).otherwise(
-        F.coalesce(V.text_at("e", "type"), F.col("_outer"))
-    )
-    stamp = V.text_at("v", "timestamp")
-    rows = rows.withColumn("type", inner).withColumns(
+    """Parsed lines with the fields every replay job needs: kind, turn, time, event body ``e``.
+
+    Parsed once and stored: a dozen jobs read different kinds of records from this table.
+    """
+    rows = lines.select("path", "line", V.parse("value").alias("v")).where("v IS NOT NULL")
+    rows = rows.withColumn("outer", F.coalesce(V.text_at("v", "type"), F.lit("")))
+    wrapped = F.col("outer").isin("event_msg", "response_item")
+    rows = rows.withColumn("e", F.when(wrapped, V.at("v", "payload")).otherwise(F.col("v")))
+    inner = F.when(F.col("outer").isin("session_meta", "turn_context"), F.col("outer")).otherwise(
+        F.coalesce(V.text_at("e", "type"), F.col("outer"))
+    )
+    rows = rows.withColumns(
         {
-            "kind": D.event_kind("type", "e"), "ts": V.rfc3339_ms(stamp),
+            "type": inner, **D.kind_facts("e"), "ts": V.rfc3339_ms(V.text_at("v", "timestamp")),
             "own_turn": F.coalesce(D.turn_id_of("e"), D.turn_id_of("v")),
         }
     )
-    return rows.drop("_outer")
+    kind = D.kind_of("type", "role", "level", "said", "item_type")
+    return store(rows.withColumn("kind", kind).drop("outer", "role", "level", "said", "item_type"), "records")
 
 
 def turn_assign(rows: DataFrame) -> DataFrame:
-    """Adds ``turn_id``: the latest turn named at or before the line."""
-    carried = with_carried(rows, _FILE, _LINE, {"turn_id": F.col("own_turn")}, LINES_PER_SLICE)
-    return carried.withColumn("turn_id", F.coalesce("turn_id", F.lit(UNGROUPED))).drop("own_turn")
+    """Adds ``turn_id``: the latest turn named at or before the line. Stored, as all jobs read it."""
+    marks = rows.select("path", "line", "own_turn")
+    carried = with_carried(marks, _FILE, _LINE, {"turn_id": F.col("own_turn")}, LINES_PER_SLICE)
+    named = carried.select("path", "line", F.coalesce("turn_id", F.lit(UNGROUPED)).alias("turn_id"))
+    return store(rows.drop("own_turn").join(named, ["path", "line"]), "turns")
 
 
 def turn_bounds(rows: DataFrame) -> DataFrame:
@@ -154,7 +158,8 @@ def output_rows(rows: DataFrame) -> DataFrame:
         F.coalesce(D.tool_name_of("e"), F.lit("tool")).alias("name"), D.output_of("e").alias("raw_output"),
         D.stderr_of("e").alias("stderr"), V.trimmed_at("e", "status").alias("said"),
     )
-    outs = outs.withColumn("output", F.when(F.col("raw_output").startswith("["), _decoded(F.col("raw_output"))).otherwise(F.col("raw_output")))
+    decoded = F.when(F.col("raw_output").startswith("["), _decoded(F.col("raw_output")))
+    outs = outs.withColumn("output", F.coalesce(decoded, F.col("raw_output"))).drop("raw_output")
     body = F.col("output")
     script = F.nullif(F.btrim(F.regexp_extract(body, r"Script running with cell ID ([^\r\n]*)", 1)), F.lit(""))
     marked = F.nullif(F.regexp_extract(body, r"(?m)^\s*SESSION_ID=\s*([0-9]+)\s*$", 1), F.lit(""))
@@ -218,7 +223,9 @@ def process_roots(calls: DataFrame, paired: DataFrame) -> DataFrame:
         "path", "cell", "line", F.lit(None).cast("bigint").alias("owner"), F.col("line").alias("poll_line")
     )
     known = with_carried(made.unionByName(polls), ["path", "cell"], _LINE, {"up": F.col("owner")}, LINES_PER_SLICE)
-    edges = known.where("poll_line IS NOT NULL AND up IS NOT NULL").select("path", F.col("poll_line").alias("line"), "up")
+    edges = store(
+        known.where("poll_line IS NOT NULL AND up IS NOT NULL").select("path", F.col("poll_line").alias("line"), "up"), "polls"
+    )
     ident = lambda line: F.concat_ws("#", "path", F.col(line).cast("string"))
     ups = edges.select(ident("up").alias("id")).join(edges.select(ident("line").alias("id")), ["id"], "left_anti").dropDuplicates()
     nodes = edges.select(ident("line").alias("id"), ident("up").alias("parent"), F.lit("").alias("label")).unionByName(
@@ -239,73 +246,84 @@ def tool_status(paired: DataFrame) -> DataFrame:
     decides when nothing else does.
     """
     none = F.col("recorded").isNull()
-    exit_code = F.coalesce("recorded", "exit_text")
-    signal = F.when(none, F.col("signal_text"))
-    ended = exit_code.isNotNull() | signal.isNotNull()
-    running = F.col("cell_out").isNotNull() & ~ended
-    failed = signal.isNull() & (F.coalesce(exit_code != 0, F.lit(False)) | (none & F.coalesce(F.col("script_failed"), F.lit(False))))
-    execs = F.coalesce(F.col("opened.exec"), F.lit(False))
-    batched = F.coalesce((F.col("results") > 1) & execs, F.lit(False))
-    process = ~batched & (F.col("continued") | execs | F.col("cell_out").isNotNull() | ended)
-    ctrl_c = F.coalesce(F.col("continued") & (F.col("opened.input") == "\x03"), F.lit(False))
-    stopped = process & (signal.isNotNull() | (ctrl_c & ended))
-    writes = F.coalesce(F.col("continued") & (F.col("opened.poll") == "write"), F.lit(False))
-    marked = paired.withColumns(
-        {"_process": process, "_stopped": stopped, "_failed": failed, "_ended": ended, "_verdict": exit_code.isNotNull(), "_running": running, "_writes": writes}
+    no = F.lit(False)
+    rows = paired.withColumns(
+        {
+            "_exit": F.coalesce("recorded", "exit_text"), "_signal": F.when(none, F.col("signal_text")),
+            "_exec": F.coalesce(F.col("opened.exec"), no),
+            "_ctrl_c": F.coalesce(F.col("continued") & (F.col("opened.input") == "\x03"), no),
+            "_writes": F.coalesce(F.col("continued") & (F.col("opened.poll") == "write"), no),
+            "_bad_start": none & F.coalesce(F.col("script_failed"), no),
+        }
     )
+    rows = rows.withColumn("_ended", F.col("_exit").isNotNull() | F.col("_signal").isNotNull())
+    batched = (F.coalesce(F.col("results"), F.lit(0)) > 1) & F.col("_exec")
+    process = F.col("continued") | F.col("_exec") | F.col("cell_out").isNotNull() | F.col("_ended")
+    failed = F.col("_signal").isNull() & ((F.coalesce(F.col("_exit"), F.lit(0)) != 0) | F.col("_bad_start"))
+    rows = rows.withColumns({"process": ~batched & process, "_failed": failed})
+    stopped = F.col("process") & (F.col("_signal").isNotNull() | (F.col("_ctrl_c") & F.col("_ended")))
+    rows = rows.withColumns({"_stopped": stopped, "_running": F.col("cell_out").isNotNull() & ~F.col("_ended")})
     status = (
-        F.when(F.col("_stopped"), "stopped").when(F.col("_process") & F.col("_failed"), "failed")
+        F.when(F.col("_stopped"), "stopped").when(F.col("process") & F.col("_failed"), "failed")
         .when(F.col("_writes") & ~F.col("_ended"), "running").when(F.col("_running"), "running")
         .otherwise(F.coalesce("said", F.lit("completed")))
     )
-    noisy = F.col("said").isNull() & ~F.col("_verdict") & F.coalesce(F.btrim("stderr") != "", F.lit(False))
-    bad = ~F.col("_stopped") & (
-        (F.col("_process") & F.col("_failed")) | F.coalesce(~F.col("said").isin(*FINE), F.lit(False)) | noisy
-    )
-    return marked.withColumns({"status": status, "is_error": bad, "process": F.col("_process")}).drop(
-        "_process", "_stopped", "_failed", "_ended", "_verdict", "_running", "_writes"
+    noisy = F.col("said").isNull() & F.col("_exit").isNull() & F.coalesce(F.btrim("stderr") != "", no)
+    odd = F.coalesce(~F.col("said").isin(*FINE), no)
+    bad = ~F.col("_stopped") & ((F.col("process") & F.col("_failed")) | odd | noisy)
+    return rows.withColumns({"status": status, "is_error": bad}).drop(
+        "_exec", "_ctrl_c", "_writes", "_bad_start", "_ended", "_failed", "_stopped", "_running"
     )
 
 
-def _chunk() -> Column:
-    """What one output adds to its process: what was typed, the text after the header, and the
-    outcome in its usual words."""
+def _result_text(line: Column) -> Column:
+    """A line that is a structured result reads as its output and error text."""
+    v = V.parse(line)
+    inner = F.coalesce(F.when(V.text_at(v, "status") == "fulfilled", V.at(v, "value")), v)
+    told = F.concat_ws("\n", V.filled_at(inner, "output"), V.filled_at(inner, "stderr"))
+    return F.when(line.startswith("{") & V.text_at(inner, "output").isNotNull(), told).otherwise(line)
 
-    def result_text(line: Column) -> Column:
-        v = V.parse(line)
-        inner = F.coalesce(F.when(V.text_at(v, "status") == "fulfilled", V.at(v, "value")), v)
-        out, err = V.text_at(inner, "output"), V.text_at(inner, "stderr")
-        told = F.concat_ws("\n", F.nullif(out, F.lit("")), F.nullif(err, F.lit("")))
-        return F.when(line.startswith("{") & out.isNotNull(), told).otherwise(line)
 
-    body = F.regexp_replace(F.col("output"), r"(?s)^.*?\r?\nOutput:\r?\n", "")
-    plain = F.regexp_replace(body, r"(?m)^\s*SESSION_ID=\s*[0-9]+\s*$\n?", "")
-    lines = F.array_join(F.transform(F.split(plain, "\n"), result_text), "\n")
-    kept = F.nullif(F.btrim(F.when(plain.contains("{"), lines).otherwise(plain), F.lit(" \r\n\t")), F.lit(""))
-    code = F.coalesce("recorded", "exit_text")
-    signal = F.when(F.col("recorded").isNull(), F.col("signal_text"))
+def _also(text: str, more: str) -> Column:
+    """Both texts, one per line; a repeated or absent one adds nothing."""
+    first, second = F.col(text), F.col(more)
+    return F.when(first.eqNullSafe(second), first).otherwise(F.nullif(F.concat_ws("\n", first, second), F.lit("")))
 
-    def also(text: Column, more: Column) -> Column:
-        both = F.concat(text, F.lit("\n"), more)
-        return F.when(more.isNull() | (text == more), text).otherwise(F.coalesce(both, text, more))
 
-    kept = also(kept, F.concat(F.lit("Process exited with code "), code.cast("string")))
-    kept = also(kept, F.concat(F.lit("Process stopped with signal "), signal))
+def with_chunk(judged: DataFrame) -> DataFrame:
+    """Adds ``chunk``, what one output adds to its process: what was typed, the text after the
+    header, and the outcome in its usual words. Columns are built step by step, so no step
+    repeats the work of another."""
+    blank = lambda x: F.nullif(F.btrim(x, F.lit(" \r\n\t")), F.lit(""))
+    rows = judged.withColumn("_body", F.regexp_replace(F.col("output"), r"(?s)^.*?\r?\nOutput:\r?\n", ""))
+    rows = rows.withColumn("_body", F.regexp_replace("_body", r"(?m)^\s*SESSION_ID=\s*[0-9]+\s*$\n?", ""))
+    lines = F.array_join(F.transform(F.split("_body", "\n"), _result_text), "\n")
     typed = F.col("opened.input")
-    sent = F.when(typed == "\x03", F.lit("› Sent Ctrl+C")).when(
-        typed.isNotNull() & F.col("continued"), F.concat(F.lit("› Sent: "), F.rtrim(typed, F.lit("\r\n")))
+    rows = rows.withColumns(
+        {
+            "_kept": blank(F.when(F.col("_body").contains("{"), lines).otherwise(F.col("_body"))),
+            "_code": F.concat(F.lit("Process exited with code "), F.col("_exit").cast("string")),
+            "_sig": F.concat(F.lit("Process stopped with signal "), F.col("_signal")),
+            "_sent": F.when(typed == "\x03", F.lit("› Sent Ctrl+C")).when(
+                typed.isNotNull() & F.col("continued"), F.concat(F.lit("› Sent: "), F.rtrim(typed, F.lit("\r\n")))
+            ),
+        }
     )
-    return F.when(F.col("process"), also(sent, kept)).otherwise(F.col("output"))
+    rows = rows.withColumn("_kept", _also("_kept", "_code"))
+    rows = rows.withColumn("_kept", _also("_kept", "_sig"))
+    rows = rows.withColumn("_kept", _also("_sent", "_kept"))
+    chunk = F.when(F.col("process"), F.col("_kept")).otherwise(F.col("output"))
+    return rows.withColumn("chunk", chunk).drop("_body", "_kept", "_code", "_sig", "_sent", "_exit", "_signal")
 
 
 def process_continuations(rows: DataFrame) -> DataFrame:
     """Every output with its verdict and the call it belongs to in the end (``root_line``)."""
     calls = call_rows(rows)
-    paired = with_exit_codes(pair_calls(calls, output_rows(rows)), exec_exits(rows, calls))
+    paired = store(with_exit_codes(pair_calls(calls, output_rows(rows)), exec_exits(rows, calls)), "outputs")
     roots = process_roots(calls, paired).withColumnRenamed("line", "_call")
     joined = paired.withColumn("_call", F.col("opened.call_line")).join(roots, ["path", "_call"], "left")
-    judged = tool_status(joined.withColumn("continued", F.col("root_line").isNotNull()))
-    return judged.withColumns({"root_line": F.coalesce("root_line", "_call"), "chunk": _chunk()}).drop("_call")
+    judged = with_chunk(tool_status(joined.withColumn("continued", F.col("root_line").isNotNull())))
+    return store(judged.withColumn("root_line", F.coalesce("root_line", "_call")).drop("_call"), "verdicts")
 
 
 def _fold(parts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S, variants as V
-from ..session import cut_lineage
+from ..session import store
 
 # Fixed value: path of a session that no other session started.
 ROOT_PATH = "/root"
@@ -34,18 +34,19 @@ def resolve_roots(nodes: DataFrame) -> DataFrame:
     Every round joins each unfinished node with the node it points at, so a chain of length n
     takes log2(n) rounds, and finished nodes leave the left side. ``trail`` lists
     struct(label, id) from the root down. A node on or below a cycle meets an id twice, stops
-    there and is returned with a NULL root. Each round is checkpointed: plans stay short and
+    there and is returned with a NULL root. Each round is stored: plans stay short and
     survive lost executors. ``id`` must be unique.
     """
     columns = ("id", "next", "last", "hops", "trail")
     here = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("_here"))
     known = nodes.join(here, ["parent"], "left")
     up = F.when(F.col("_here"), F.col("parent"))
-    state = cut_lineage(
+    state = store(
         known.select(
             "id", up.alias("next"), F.when(up.isNull(), F.col("id")).alias("last"),
             up.isNotNull().cast("bigint").alias("hops"), F.array(F.struct("label", "id")).alias("trail"),
-        )
+        ),
+        "roots",
     )
     done = state.where("next IS NULL")
     active = state.where("next IS NOT NULL")
@@ -56,11 +57,12 @@ def resolve_roots(nodes: DataFrame) -> DataFrame:
             (F.col("hops") + F.col("_hops")).alias("hops"), F.concat("_trail", "trail").alias("trail"),
         )
         loops = F.size(F.array_distinct(F.transform("trail", lambda x: x["id"]))) < F.size("trail")
-        stepped = cut_lineage(
+        stepped = store(
             stepped.withColumn("_loops", loops).select(
                 "id", F.when(~F.col("_loops"), F.col("next")).alias("next"),
                 F.when(~F.col("_loops"), F.col("last")).alias("last"), "hops", "trail",
-            )
+            ),
+            "roots",
         )
         done = done.unionByName(stepped.where("next IS NULL"))
         active = stepped.where("next IS NOT NULL")
@@ -86,7 +88,7 @@ def session_tree(nodes: DataFrame, selected_path: str) -> DataFrame:
     picked = nodes.where(F.col("path") == selected_path).select("id").first()
     if picked is None:
         return nodes.limit(0).withColumn("position", F.lit(0).cast("bigint"))
-    forest = cut_lineage(session_forest(nodes))
+    forest = store(session_forest(nodes), "forest")
     root = forest.where(F.col("id") == picked["id"]).select("root").first()["root"]
     if root is None:
         family = _cycle_family(nodes, picked["id"])
@@ -100,7 +102,7 @@ def session_tree(nodes: DataFrame, selected_path: str) -> DataFrame:
 def _cycle_family(nodes: DataFrame, start: str) -> DataFrame:
     """Family of a session on or under a parent cycle: everything below the first session the
     climb reaches twice. One small job per generation, only for damaged data."""
-    parents = cut_lineage(nodes.select("id", "parent"))
+    parents = store(nodes.select("id", "parent"), "parents")
     seen, at = set(), start
     while at not in seen:
         seen.add(at)
@@ -114,10 +116,10 @@ def _cycle_family(nodes: DataFrame, start: str) -> DataFrame:
         above = frontier.select(F.col("id").alias("parent"), F.col("place").alias("_up"))
         below = nodes.join(above, ["parent"]).join(family.select("id"), ["id"], "left_anti")
         step = F.struct(F.split("agent_path", "/").alias("parts"), F.col("path"), F.col("id"))
-        frontier = cut_lineage(below.withColumn("place", F.concat("_up", F.array(step))).select(family.columns))
+        frontier = store(below.withColumn("place", F.concat("_up", F.array(step))).select(family.columns), "frontier")
         if frontier.isEmpty():
             break
-        family = cut_lineage(family.unionByName(frontier))
+        family = store(family.unionByName(frontier), "family")
     return family.withColumns({"root": F.lit(at), "hops": F.size("place").cast("bigint") - 1})
 
 

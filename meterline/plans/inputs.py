@@ -168,8 +168,9 @@ def oracle(sql: str) -> str:
     body = sql.format_map(names).strip()
     if not parts:
         return body
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(opening):
+            return opening + ",\n".join(parts) + ",\n" + body[len(opening):]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T, variants as V
 from ..operators import replay as Y, summaries as R, tree as G
+from ..session import store
 from ..sources import normalize as N
 from .inputs import METRIC_SQL, START, WINDOW, r6
 from .logs import _json, _lines
@@ -63,12 +64,19 @@ def transcript_lines(t):
     return out
 
 
+def _written(t):
+    """The derived lines, written once per query like the log files they stand for."""
+    if "_transcript" not in t.__dict__:
+        t.__dict__["_transcript"] = store(transcript_lines(t), "transcript")
+    return t.__dict__["_transcript"]
+
+
 def _rows(t):
-    return Y.turn_assign(Y.records(transcript_lines(t)))
+    return Y.turn_assign(Y.records(_written(t)))
 
 
 def _events(t):
-    return N.norm_cumulative_log(transcript_lines(t), "codex")["events"]
+    return N.norm_cumulative_log(_written(t), "codex")["events"]
 
 
 _X = """(SELECT *, 'r/' || session || '.jsonl' AS path, 10 * event_id + 100 AS base,

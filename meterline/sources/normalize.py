@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S, variants as V
+from ..session import store
 from ..operators.counters import cumulative_delta
 from ..operators.ordered import LINES_PER_SLICE, change_points, with_carried
 
@@ -158,8 +159,10 @@ def _plain_tokens(base: str, **names: str) -> Column:
 
 def norm_cumulative_log(lines: DataFrame, agent: str) -> dict[str, DataFrame]:
     """Records with running totals: events, tool calls and changed quota snapshots."""
-    rows = carry_context(parsed(lines), also_model=F.when(_payload_kind() == "token_count", V.filled_at("v", "payload.info.model")))
-    timed = rows.withColumn("ts", record_ts()).where("ts IS NOT NULL")
+    named = F.when(_payload_kind() == "token_count", V.filled_at("v", "payload.info.model"))
+    rows = carry_context(parsed(lines).withColumn("ts", record_ts()), also_model=named)
+    # Four jobs read these rows, so they are parsed and carried once.
+    timed = store(rows, "context").where("ts IS NOT NULL")
     counts = timed.where(_payload_kind() == "token_count")
     info = "payload.info"
     has_total = V.is_object("v", f"{info}.total_token_usage")

@@ -466,12 +466,14 @@ def fold_usage(items: DataFrame) -> DataFrame:
     flips = (F.col("run") - F.col("_s.at")) % 2 == 1
     alone = F.when(flips, ~F.col("_s.alone")).otherwise(F.col("_s.alone"))
     states = known.select(*keys, "run", "_first", alone.alias("_alone"))
-    # After a run that began alone and had one row, the badge goes to that row's entry.
     joined = runs.join(states, [*keys, "run"])
+    # The badge of a run that began alone starts with its second row.
+    second = joined.where("seq > _first").groupBy(*keys, "run").agg(F.min("seq").alias("_second"))
+    joined = joined.join(second, [*keys, "run"], "left")
     first = F.col("seq") == F.col("_first")
-    role = F.when(~F.col("_alone"), F.col("_first")).when(first, F.col("seq")).otherwise(F.col("_first") + 1)
+    shown = F.when(~F.col("_alone"), F.col("_first")).when(first, F.col("seq")).otherwise(F.col("_second"))
     return joined.select(
-        *keys, "seq", "host", "run", role.alias("shown"), (F.col("_alone") & first).alias("own_entry")
+        *keys, "seq", "host", "run", shown.alias("shown"), (F.col("_alone") & first).alias("own_entry")
     )
 
 

@@ -154,15 +154,15 @@ def total_tokens(i="input", c="cached", w="cache_write", o="output") -> Column:
     return F.coalesce(total, F.lit(MAX_LONG))
 
 
-def saturating_sum(x) -> Column:
+def saturating_sum(x, has_nulls: bool = True) -> Column:
     """Sum of non-negative longs that stops at the largest long instead of failing.
 
-    ``try_sum`` keeps an 8-byte buffer, so this stays in the hash aggregate.
+    ``try_sum`` keeps an 8-byte buffer, so this stays in the hash aggregate. A sum over no
+    value is 0; columns without NULLs share one row count to tell that case apart.
     """
     c = _c(x)
-    return F.when(F.count(c) == 0, F.lit(0).cast("bigint")).otherwise(
-        F.coalesce(F.try_sum(c), F.lit(MAX_LONG))
-    )
+    values = F.count(c) if has_nulls else F.count(F.lit(1))
+    return F.coalesce(F.try_sum(c), F.when(values == 0, F.lit(0)).otherwise(F.lit(MAX_LONG)).cast("bigint"))
 
 
 def clamp(x, low, high) -> Column:

@@ -38,15 +38,15 @@ def metric_aggs(last: bool = True) -> list[Column]:
     unpriced = F.col("cost").isNull()
     zero = F.lit(0.0)
     known = F.coalesce(F.sum("cost"), zero)
-    aggs = [S.saturating_sum(t).alias(t) for t in TOKENS]
+    aggs = [S.saturating_sum(t, has_nulls=False).alias(t) for t in TOKENS]
     aggs += [
-        S.saturating_sum(total).alias("total_tokens"),
+        S.saturating_sum(total, has_nulls=False).alias("total_tokens"),
         F.count(F.lit(1)).alias("events"),
         F.coalesce(F.max("ts"), F.lit(0).cast("bigint")).alias("last_ts"),
         known.alias("known_cost"),
         *[F.coalesce(F.sum(p), zero).alias(f"known_{p}") for p in PARTS],
         F.count_if(unpriced).alias("unpriced_events"),
-        S.saturating_sum(F.when(unpriced, total).otherwise(F.lit(0).cast("bigint"))).alias("unpriced_tokens"),
+        S.saturating_sum(F.when(unpriced, total).otherwise(F.lit(0).cast("bigint")), has_nulls=False).alias("unpriced_tokens"),
         F.when(F.count_if(unpriced) == 0, known).alias("cost"),
     ]
     if last:
@@ -196,13 +196,13 @@ def _refold() -> list[Column]:
     zero = F.lit(0.0)
     known = F.coalesce(F.sum("known_cost"), zero)
     return [
-        *[S.saturating_sum(t).alias(t) for t in (*TOKENS, "total_tokens")],
+        *[S.saturating_sum(t, has_nulls=False).alias(t) for t in (*TOKENS, "total_tokens")],
         F.coalesce(F.sum("events"), F.lit(0).cast("bigint")).alias("events"),
         F.coalesce(F.max("last_ts"), F.lit(0).cast("bigint")).alias("last_ts"),
         known.alias("known_cost"),
         *[F.coalesce(F.sum(f"known_{p}"), zero).alias(f"known_{p}") for p in PARTS],
         F.coalesce(F.sum("unpriced_events"), F.lit(0).cast("bigint")).alias("unpriced_events"),
-        S.saturating_sum("unpriced_tokens").alias("unpriced_tokens"),
+        S.saturating_sum("unpriced_tokens", has_nulls=False).alias("unpriced_tokens"),
         F.when(F.coalesce(F.sum("unpriced_events"), F.lit(0)) == 0, known).alias("cost"),
         F.max("_last").alias("_last"),
         F.min("_first").alias("_first"),

@@ -10,6 +10,7 @@ from .inputs import Inputs, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+FUNCTIONS: dict[str, Callable[[Inputs], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -18,6 +19,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Inputs], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
+        FUNCTIONS[name] = fn
         QUERIES[name] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = oracle(sql)

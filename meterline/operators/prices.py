@@ -126,10 +126,10 @@ def load_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, f
     return rates.select(*columns), aliases.select("alias", "model"), fx
 
 
-def rate_intervals(rates: DataFrame) -> DataFrame:
+def rate_intervals(rates: DataFrame, key: str = "model") -> DataFrame:
     """Each rate with the half-open interval [from_ms, to_ms) in which it holds."""
     start = F.coalesce("effective_from_ms", F.lit(0).cast("bigint"))
-    later = Window.partitionBy("model").orderBy("from_ms")
+    later = Window.partitionBy(key).orderBy("from_ms")
     return rates.withColumn("from_ms", start).withColumn(
         "to_ms", F.coalesce(F.lead("from_ms").over(later), F.lit(S.MAX_LONG))
     ).drop("effective_from_ms")
@@ -147,15 +147,12 @@ def resolve_alias(events: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def effective_rates(rates: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Rate intervals under every name an event may carry, aliases already followed, so
+    """Rate intervals under every ``name`` an event may carry, aliases already followed, so
     pricing needs a single join."""
-    spans = rate_intervals(rates)
     nicknames = aliases.select(F.col("alias").alias("name"), F.col("model").alias("target"))
-    own = spans.withColumnRenamed("model", "name").join(
-        nicknames.select("name"), ["name"], "left_anti"
-    )
-    routed = nicknames.join(spans, F.col("target") == F.col("model")).drop("target", "model")
-    return own.unionByName(routed)
+    own = rates.withColumnRenamed("model", "name").join(nicknames.select("name"), ["name"], "left_anti")
+    routed = nicknames.join(rates, F.col("target") == F.col("model")).drop("target", "model")
+    return rate_intervals(own.unionByName(routed), "name")
 
 
 def price(

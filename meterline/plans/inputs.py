@@ -60,10 +60,10 @@ SELECT 'live/' || session AS path, id, agent, session, ts, name FROM {activities
 UNION ALL SELECT 'archive/' || session AS path, id, agent, session, ts, name || '-old' AS name
 FROM {activities} WHERE ts % 3 = 0""",
     "quota": """
-SELECT p.path, u.agent, u.session, u.ts,
+SELECT u.path, u.agent, u.session, u.ts,
  '{LB}"primary":{LB}"used_percent":' || CAST(k AS {S}) || ',"window_minutes":300,"resets_at":' || CAST(ts {DIV} 1000 + 18000 AS {S})
  || '{RB},"secondary":{LB}"used_percent":' || CAST((k*3) % 100 AS {S}) || ',"window_minutes":10080{RB}{RB}' AS payload
-FROM {usage_raw} u CROSS JOIN (SELECT 'live' AS path UNION ALL SELECT 'archive') p
+FROM (SELECT 'live' AS path, * FROM {usage_raw} UNION ALL SELECT 'archive' AS path, * FROM {usage_raw}) u
 WHERE event_type = 'signup' AND agent <> 'qoder'""",
     "credits": """
 SELECT 'live/' || session AS path, agent, 'r' || CAST(event_id - event_id % 3 AS {S}) AS request_id, session, project,
@@ -80,17 +80,19 @@ SELECT session, id, agent, ts, epoch, k,
 FROM (SELECT *, SUM(CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END) OVER
         (PARTITION BY session ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch FROM {usage_raw}) e
 WINDOW w AS (PARTITION BY session, epoch ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
-    "snapshots": """
-SELECT p.path || session AS path, session, ts, created_at, model, project, c_input, c_cached, c_cache_write, c_output, c_reasoning
-FROM (SELECT 'u' || CAST(user_id AS {S}) AS session, ts, 'm-cny' AS model, project, k,
+    "snapshot_rows": """
+SELECT 'u' || CAST(user_id AS {S}) AS session, ts, 'm-cny' AS model, project, k,
  MIN(ts) OVER (PARTITION BY user_id) - CASE WHEN user_id % 2 = 0 THEN 0 ELSE 172800000 END AS created_at,
  CAST(SUM(input + cached) OVER w AS BIGINT) AS c_input, CAST(SUM(cached) OVER w AS BIGINT) AS c_cached,
  CAST(SUM(cache_write) OVER w AS BIGINT) AS c_cache_write, CAST(SUM(output) OVER w AS BIGINT) AS c_output,
  CAST(SUM(reasoning) OVER w AS BIGINT) AS c_reasoning
  FROM (SELECT *, SUM(CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END) OVER
         (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch FROM {usage_raw}) e
- WINDOW w AS (PARTITION BY user_id, epoch ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) s
-JOIN (SELECT 'live/' AS path, 1 AS every UNION ALL SELECT 'archive/' AS path, 4 AS every) p ON s.k % p.every = 0""",
+ WINDOW w AS (PARTITION BY user_id, epoch ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "snapshots": """
+SELECT 'live/' || session AS path, session, ts, created_at, model, project, c_input, c_cached, c_cache_write, c_output, c_reasoning FROM {snapshot_rows}
+UNION ALL SELECT 'archive/' || session AS path, session, ts, created_at, model, project, c_input, c_cached, c_cache_write, c_output, c_reasoning
+FROM {snapshot_rows} WHERE k % 4 = 0""",
     "rates": """
 SELECT * FROM (VALUES
  ('glm-5.3-flash', CAST(NULL AS BIGINT), 'CNY', CAST(1.0 AS DOUBLE), CAST(0.2 AS DOUBLE), CAST(1.0 AS DOUBLE), CAST(4.0 AS DOUBLE)),

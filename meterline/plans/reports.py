@@ -276,20 +276,15 @@ def activity_page(t):
     return pages.activity_page(Q.select_activities(t.activities, t.usage_events, _BY_MODEL), 10, 50)[1]
 
 
-@query("export_order", f"SELECT row_number() OVER (ORDER BY ts, id) AS position, id, ts FROM (SELECT * FROM {{usage_events}} WHERE ts >= {START} AND ts < {END} ORDER BY ts, id LIMIT 500) x")
+@query("export_order", f"SELECT id, ts FROM {{usage_events}} WHERE ts >= {START} AND ts < {END} ORDER BY ts, id")
 def export_order(t):
-    rows = pages.export_rows(Q.select_events(t.usage_events, WINDOW)).select("id", "ts").limit(500)
-    return rows.agg(F.collect_list(F.struct("ts", "id")).alias("r")).select(F.posexplode("r").alias("p", "r")).select(
-        (F.col("p") + 1).cast("bigint").alias("position"), "r.id", "r.ts"
-    )
+    return pages.export_rows(Q.select_events(t.usage_events, WINDOW)).select("id", "ts")
 
 
-@query("sort_summaries", f"""SELECT row_number() OVER (ORDER BY cost DESC NULLS LAST, key) AS position, key, cost FROM
- (SELECT model_key AS key, CASE WHEN count(*) FILTER (cost IS NULL) = 0 THEN {r6('sum(cost)')} END AS cost FROM {{keyed}} GROUP BY model_key) s""")
+@query("sort_summaries", f"""SELECT key, cost FROM (SELECT model_key AS key, CASE WHEN count(*) FILTER (cost IS NULL) = 0 THEN {r6('sum(cost)')} END AS cost
+ FROM {{keyed}} GROUP BY model_key) s ORDER BY cost DESC NULLS LAST, key""")
 def sort_summaries(t):
-    rows = R.sort_summaries(R.by_model(t.priced, last=False), "cost", descending=True).select("key", "cost")
-    listed = rows.agg(F.collect_list(F.struct("key", "cost")).alias("r")).select(F.posexplode("r").alias("p", "r"))
-    return listed.select((F.col("p") + 1).cast("bigint").alias("position"), "r.key", "r.cost")
+    return R.sort_summaries(R.by_model(t.priced, last=False), "cost", descending=True).select("key", "cost")
 
 
 # --- shares and rates --------------------------------------------------------------------------------

@@ -15,9 +15,11 @@ from .logs import BATCH, latest, read_log, run_available, write_batch
 LAST = ("last_input", "last_cached", "last_cache_write", "last_output", "last_reasoning")
 
 
-def stream_lines(spark: SparkSession, roots: str, glob: str) -> DataFrame:
-    """New files as [path, value] rows, as they appear."""
+def stream_lines(spark: SparkSession, roots: str, glob: str, files_per_batch: int = 10_000) -> DataFrame:
+    """New files as [path, value] rows, as they appear. A batch takes a bounded number of files,
+    so the list of their names stays small."""
     reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.text(roots).select(F.col("_metadata.file_path").alias("path"), "value")
 
 

@@ -179,3 +179,15 @@ def test_unknown_values_sort_last_both_ways(rows):
     df = rows("key string, cost double", [("a", 1.0), ("b", None), ("c", 2.0)])
     order = lambda desc: [r.key for r in R.sort_summaries(df, "cost", desc).collect()]
     assert order(True) == ["c", "a", "b"] and order(False) == ["a", "c", "b"]
+
+
+def test_pages_are_newest_first_and_exports_oldest_first(rows):
+    from meterline.operators import pages
+
+    df = rows(EVENT, [event(f"e{i:02}", 100 * (i // 2), agent=f"a{i % 2}") for i in range(20)])
+    count, slice_ = pages.event_page(df, 4, 3)
+    first = [(r.ts, r.agent) for r in slice_.collect()]
+    assert count.first().total == 20 and first == [(700, "a0"), (700, "a1"), (600, "a0")]
+    after = [r.id for r in pages.page_after(df, (800, "a1", "e17"), 3).collect()]
+    assert after == [r.id for r in slice_.collect()]
+    assert [r.id for r in pages.export_rows(df).collect()] == [f"e{i:02}" for i in range(20)]

@@ -165,10 +165,6 @@ def saturating_sum(x, has_nulls: bool = True) -> Column:
     return F.coalesce(F.try_sum(c), F.when(values == 0, F.lit(0)).otherwise(F.lit(MAX_LONG)).cast("bigint"))
 
 
-def clamp(x, low, high) -> Column:
-    return F.least(F.greatest(_c(x), low), high)
-
-
 # --- time ---------------------------------------------------------------------------
 
 

@@ -191,3 +191,28 @@ def test_pages_are_newest_first_and_exports_oldest_first(rows):
     after = [r.id for r in pages.page_after(df, (800, "a1", "e17"), 3).collect()]
     assert after == [r.id for r in slice_.collect()]
     assert [r.id for r in pages.export_rows(df).collect()] == [f"e{i:02}" for i in range(20)]
+
+
+def test_rollup_per_file_and_day_nests_by_model_and_project(rows):
+    rates = [("m", None, "USD", 1.0, 1.0, 1.0, 1.0)]
+    day = 86_400_000
+    df = priced(rows, [event("a", 1), event("b", day - 1, "x", (1, 2, 3, 4, 5)), event("c", day)], rates)
+    nested = {r.usage.total_tokens: r for r in R.nest_rollup(R.session_daily_rollup(df)).collect()}
+    first = nested[20]
+    assert first.usage.input == 16 and first.usage.unpriced_events == 1
+    assert {k: v.total_tokens for k, v in first.models.items()} == {"m": 10, "x": 10}
+    assert first.projects["p"].reasoning == 5 and nested[10].day == "1970-01-02"
+
+
+def test_export_text_is_guarded_and_says_unpriced(spark, rows, tmp_path):
+    from meterline.sinks import exports as W
+
+    rates = [("m", None, "USD", 1.0, 1.0, 1.0, 1.0)]
+    events = [event("a", 1500, session="=1+1", project='x"y', path="\\\\?\\Q:\\f"), event("b", 1000, "none")]
+    df = priced(rows, events, rates).withColumn("line", F.lit(3))
+    W.export_csv(df, str(tmp_path / "out"), "CNY", 7.0)
+    text = [t for p in sorted((tmp_path / "out").glob("part-*")) for t in p.read_text().splitlines()]
+    body = [t for t in text if not t.startswith('"Time')]
+    assert body[0].startswith('"1970-01-01T00:00:01+00:00","a","s","p","none"') and '"unpriced"' in body[0]
+    assert '"1970-01-01T00:00:01.500+00:00"' in body[1] and '"\'=1+1"' in body[1] and '"x""y"' in body[1]
+    assert '"0.00007000"' in body[1] and '"Q:\\f"' in body[1]

@@ -206,3 +206,20 @@ def test_generations_prefer_inline_time_and_total_output(rows):
     row = events.first()
     assert events.count() == 1 and (row.ts, row.project, row.output, total(events)) == (TS + 5, "App X", 100, 1136)
     assert bad.first().malformed == 1
+
+
+def test_message_tables_check_their_totals(rows):
+    data = lambda **t: json.dumps({"role": "assistant", "modelID": "M", "time": {"created": TS}, "tokens": {"input": 500, "output": 100, "reasoning": 40, "cache": {"read": 50, "write": 10}, **t}})
+    message = rows("id string, session_id string, time_created long, data string", [("a", "s", 1, data(total=700)), ("b", "s", 1, data(total=701)), ("c", "s", 1, data(input=-1)), ("d", "s", 1, "{")])
+    session = rows("id string, directory string", [("s", "C:\\w\\App")])
+    events, bad = B.normalize_message_table(message, session, "m", "db", additive_reasoning=True)
+    assert total(events) == 700 and events.first().project == "App" and bad.first().malformed == 3
+
+
+def test_scan_states(rows):
+    schema = "agent string, path string, outcome string, malformed_lines long, error string, retry_at long"
+    results = rows(schema, [("a", "1", "failed", 0, "bad", 9), ("b", "1", "failed", 0, None, 5), ("b", "2", "parsed", 0, None, None), ("c", "1", "reused", 2, None, None), ("d", "1", "parsed", 0, None, None)])
+    agents = rows("agent string", [(x,) for x in "abcdef"])
+    got = {r.agent: r.state for r in L.scan_status(results, agents, ["f"]).collect()}
+    assert got == {"a": "error", "b": "degraded", "c": "warning", "d": "ready", "e": "missing", "f": "disabled"}
+    assert [r.error for r in L.scan_errors(results).collect()] == ["bad"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_session
-from . import decontaminate, simhash
+from . import decontaminate, kd_shards, mixing, quality, repeats, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,11 +24,36 @@ def query(fn: Callable[[Callable[[str], DataFrame]], DataFrame]):
     return fn
 
 
+@query
+def op2_repeats(table):
+    return repeats.report(table("documents"))
+
+
 @query
 def op3_decontaminate(table):
     return decontaminate.report(table("documents"), table("benchmark"))
 
 
+@query
+def op5_token_files(table):
+    return token_files.report(table("documents"))
+
+
+@query
+def op6_kd_shards(table):
+    return kd_shards.report(table("documents"))
+
+
+@query
+def op7_quality(table):
+    return quality.report(table("documents"), table("labels"))
+
+
+@query
+def op9_mixing(table):
+    return mixing.report(table("documents"))
+
+
 @query
 def op10_simhash(table):
     return simhash.report(table("documents"))
@@ -55,3 +80,18 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS
  sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN items ON items.r = d.r
 """
+
+ORACLES["op2_repeats"] = r"""
+WITH d AS (
+ SELECT doc_id, r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+ FROM (SELECT *, row_number() OVER () AS r FROM documents) s),
+g AS (
+ SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13) s),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (
+ SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (g) WHERE f.first < g.doc_id) s GROUP BY r),
+kept AS (
+ SELECT d.r, d.doc_id, len(d.w) AS n, len(coalesce(gone.ps, [])) AS m,
+  list_filter(d.w, lambda x, i: NOT list_contains(coalesce(gone.ps, []), i)) AS k FROM d LEFT JOIN gone ON gone.r = d.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+"""

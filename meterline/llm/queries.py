@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_session
-from . import decontaminate, kd_shards, mixing, quality, repeats, simhash, token_files
+from . import decontaminate, html_text, kd_shards, mixing, pii, quality, repeats, simhash, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,11 @@ def query(fn: Callable[[Callable[[str], DataFrame]], DataFrame]):
     return fn
 
 
+@query
+def op1_url_trees(table):
+    return urls.report(table("pages"), table("labels"))
+
+
 @query
 def op2_repeats(table):
     return repeats.report(table("documents"))
@@ -34,6 +39,11 @@ def op3_decontaminate(table):
     return decontaminate.report(table("documents"), table("benchmark"))
 
 
+@query
+def op4_html_text(table):
+    return html_text.report(table("pages"))
+
+
 @query
 def op5_token_files(table):
     return token_files.report(table("documents"))
@@ -49,6 +59,11 @@ def op7_quality(table):
     return quality.report(table("documents"), table("labels"))
 
 
+@query
+def op8_pii(table):
+    return pii.report(table("documents"))
+
+
 @query
 def op9_mixing(table):
     return mixing.report(table("documents"))

@@ -9,6 +9,7 @@ per (key, slice), pre-aggregated on the map side, so no task ever sees more than
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -31,7 +32,11 @@ def _within(keys: Sequence[str], order: Sequence[str]):
 
 
 def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.join(carry, [*keys, _SLICE], "left")
+    """Joins the carry on keys and slice; a null key is a key like any other."""
+    names = [*keys, _SLICE]
+    other = carry.withColumnsRenamed({n: f"_k_{n}" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"_k_{n}")) for n in names]
+    return rows.join(other, reduce(lambda a, b: a & b, same), "left").drop(*[f"_k_{n}" for n in names])
 
 
 def with_previous(

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 EVENT_PAGE_MAX, ACTIVITY_PAGE_MAX = 500, 1000
 
 
+def _check(limit: int, most: int) -> None:
+    if not 1 <= limit <= most:
+        raise ValueError(f"a page has 1 to {most} rows, not {limit}")
+
+
 def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("ts").desc(), F.col("agent").asc(), F.col("id").asc())
 
@@ -30,13 +35,15 @@ def page_after(df: DataFrame, cursor: tuple[int, str, str] | None, limit: int) -
 
 
 def event_page(events: DataFrame, offset: int = 0, limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(one-row total, slice)."""
-    return events.agg(F.count(F.lit(1)).alias("total")), page(events, offset, min(limit, EVENT_PAGE_MAX))
+    """(one-row total, slice). Raises on a page larger than EVENT_PAGE_MAX, rather than cutting it."""
+    _check(limit, EVENT_PAGE_MAX)
+    return events.agg(F.count(F.lit(1)).alias("total")), page(events, offset, limit)
 
 
 def activity_page(activities: DataFrame, offset: int = 0, limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    size = min(max(limit, 1), ACTIVITY_PAGE_MAX)
-    return activities.agg(F.count(F.lit(1)).alias("total")), page(activities, offset, size)
+    """(one-row total, slice). Raises on a page larger than ACTIVITY_PAGE_MAX, rather than cutting it."""
+    _check(limit, ACTIVITY_PAGE_MAX)
+    return activities.agg(F.count(F.lit(1)).alias("total")), page(activities, offset, limit)
 
 
 def export_rows(events: DataFrame) -> DataFrame:

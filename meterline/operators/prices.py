@@ -121,7 +121,10 @@ def load_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, f
     problem = price_problems(head, rates, aliases).orderBy("problem", "subject").first()
     if problem is not None:
         raise PriceListError(f"{problem.problem}: {problem.subject}")
-    fx = head.first().usd_cny
+    first = head.first()
+    if first is None:
+        raise PriceListError(f"empty price file: {path}")
+    fx = first.usd_cny
     columns = ("model", "effective_from_ms", "currency", "input", "cached", "cache_write", "output")
     return rates.select(*columns), aliases.select("alias", "model"), fx
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import records as D, scalars as S, text as T, variants as V
 from ..session import store
 from .ordered import LINES_PER_SLICE, with_carried, with_previous, with_running_sum, with_run_id
-from .tree import resolve_roots
+from .tree import resolve_ends
 
 # Name of the turn before any turn, and words of a tool's outcome.
 UNGROUPED = "Ungrouped"
@@ -168,7 +168,7 @@ def output_rows(rows: DataFrame) -> DataFrame:
         {
             "exit_text": T.exit_code_of("output"), "signal_text": T.signal_of("output"), "wall_ms": T.wall_ms_of("output"),
             "cell_out": F.coalesce(script, marked, inner),
-            "results": F.size(F.regexp_extract_all("output", F.lit(T.EXIT_JSON), F.lit(1))),
+            "results": T.results_in("output"),
             "script_failed": F.lower(body).startswith("script failed"),
         }
     )
@@ -228,10 +228,8 @@ def process_roots(calls: DataFrame, paired: DataFrame) -> DataFrame:
     )
     ident = lambda line: F.concat_ws("#", "path", F.col(line).cast("string"))
     ups = edges.select(ident("up").alias("id")).join(edges.select(ident("line").alias("id")), ["id"], "left_anti").dropDuplicates()
-    nodes = edges.select(ident("line").alias("id"), ident("up").alias("parent"), F.lit("").alias("label")).unionByName(
-        ups.select("id", F.lit(None).cast("string").alias("parent"), F.lit("").alias("label"))
-    )
-    roots = resolve_roots(nodes).where("hops > 0 AND root IS NOT NULL")
+    nodes = edges.select(ident("line").alias("id"), ident("up").alias("parent")).unionByName(ups.select("id", F.lit(None).cast("string").alias("parent")))
+    roots = resolve_ends(nodes).where("hops > 0 AND root IS NOT NULL")
     return roots.select(
         F.regexp_extract("id", "^(.*)#[0-9]+$", 1).alias("path"), F.substring_index("id", "#", -1).cast("bigint").alias("line"),
         F.substring_index("root", "#", -1).cast("bigint").alias("root_line"),
@@ -326,14 +324,29 @@ def process_continuations(rows: DataFrame) -> DataFrame:
     return store(judged.withColumn("root_line", F.coalesce("root_line", "_call")).drop("_call"), "verdicts")
 
 
+TAIL = 4_096
+
+
 def _fold(parts: Column) -> Column:
-    """Joins chunks in order; a chunk equal to all that came before it adds nothing."""
-    def step(sofar: Column, part: Column) -> Column:
-        return F.when(sofar.isNull(), part["chunk"]).when(sofar == part["chunk"], sofar).otherwise(
-            F.concat(sofar, F.lit("\n"), part["chunk"])
+    """Joins chunks in order; a chunk equal to all that came before it adds nothing.
+
+    What came before is kept as blocks and a short tail with its length, and only compared with a chunk
+    of the same length, so the work is linear in the text.
+    """
+    none = F.struct(F.lit(-1).cast("bigint").alias("size"), F.lit(None).cast("string").alias("tail"), F.array().cast("array<string>").alias("blocks"))
+    whole = lambda s: F.array_join(F.concat(s["blocks"], F.array(s["tail"])), "\n")
+    state = lambda size, tail, blocks: F.struct(size.cast("bigint").alias("size"), tail.alias("tail"), blocks.alias("blocks"))
+
+    def step(s: Column, part: Column) -> Column:
+        chunk, size = part["chunk"], s["size"] + 1 + F.length(part["chunk"])
+        return (
+            F.when(s["size"] < 0, state(F.length(chunk), chunk, s["blocks"]))
+            .when((s["size"] == F.length(chunk)) & (whole(s) == chunk), s)
+            .when(F.length(s["tail"]) >= TAIL, state(size, chunk, F.concat(s["blocks"], F.array(s["tail"]))))
+            .otherwise(state(size, F.concat(s["tail"], F.lit("\n"), chunk), s["blocks"]))
         )
 
-    return F.aggregate(F.array_sort(parts), F.lit(None).cast("string"), step)
+    return F.aggregate(F.array_sort(parts), none, step, lambda s: F.when(s["size"] >= 0, whole(s)))
 
 
 def tool_calls(rows: DataFrame) -> DataFrame:

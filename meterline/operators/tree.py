@@ -69,6 +69,26 @@ def resolve_roots(nodes: DataFrame) -> DataFrame:
     return done.select("id", F.col("last").alias("root"), "hops", "trail")
 
 
+def resolve_ends(nodes: DataFrame) -> DataFrame:
+    """[id, root, hops] for all nodes ``[id, parent]``: like :func:`resolve_roots` without trails, so a
+    round holds one row per node whatever the length of the chains.
+
+    A node that has not ended after more hops than there are nodes is on or below a cycle; its root is NULL.
+    """
+    here = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("_here"))
+    up = F.when(F.col("_here"), F.col("parent"))
+    state = nodes.join(here, ["parent"], "left").select(
+        "id", up.alias("next"), F.when(up.isNull(), F.col("id")).alias("root"), up.isNotNull().cast("bigint").alias("hops"))
+    state, reach = store(state, "ends"), 1
+    size = state.count()
+    while reach <= size and not state.where("next IS NOT NULL").isEmpty():
+        ahead = state.select(*[F.col(c).alias(f"_{c}") for c in state.columns])
+        stepped = state.where("next IS NOT NULL").join(ahead, F.col("next") == F.col("_id")).select(
+            "id", F.col("_next").alias("next"), F.col("_root").alias("root"), (F.col("hops") + F.col("_hops")).alias("hops"))
+        state, reach = store(state.where("next IS NULL").unionByName(stepped), "ends"), 2 * reach
+    return state.select("id", "root", "hops")
+
+
 def session_forest(nodes: DataFrame) -> DataFrame:
     """Every session with its family's root, its depth below it and its depth-first place.
 

@@ -58,9 +58,9 @@ def openai_tokens(t):
     return rows.select("id", new.alias("input"), "tok.cached", "tok.cache_write", "tok.output", "tok.reasoning")
 
 
-@query("total_tokens", "SELECT id, CASE WHEN k % 10 = 0 THEN 9223372036854775807 ELSE input + cached + cache_write + output END AS total FROM {usage_raw} WHERE k > 0")
+@query("total_tokens", "SELECT id, CASE WHEN k % 10 = 0 THEN 9223372036854775807 ELSE input + cached + cache_write + output END AS total FROM {usage_raw}")
 def total_tokens(t):
-    rows = _raw(t, big="IF(k % 10 = 0, 9223372036854775807, input)").where("k > 0")
+    rows = _raw(t, big="IF(k % 10 = 0, 9223372036854775807, input)")
     return rows.select("id", S.total_tokens("big").alias("total"))
 
 
@@ -128,6 +128,11 @@ def local_day(t):
     return t.usage_raw.select("id", S.local_day("ts", zone).alias("day"), S.local_month("ts", zone).alias("month"))
 
 
+@query("local_month", "SELECT id, strftime(make_timestamp((ts + 20700000) * 1000), '%Y-%m') AS month FROM {usage_raw}")
+def local_month(t):
+    return t.usage_raw.select("id", S.local_month("ts", "Asia/Kathmandu").alias("month"))
+
+
 @query("day_bounds", "SELECT DISTINCT day, epoch_ms(CAST(day AS TIMESTAMP)) - 28800000 AS range_start, epoch_ms(CAST(day AS TIMESTAMP)) + 57600000 AS range_end FROM (SELECT strftime(make_timestamp((ts + 28800000) * 1000), '%Y-%m-%d') AS day FROM {usage_raw}) d")
 def day_bounds(t):
     days = t.usage_raw.select(S.local_day("ts", "Asia/Shanghai").alias("day")).dropDuplicates()
@@ -153,10 +158,9 @@ def display_cost(t):
     )
 
 
-@query("cost_parts", "SELECT id, " + ", ".join(r6(f"cost_{p}") + f" AS cost_{p}" for p in ("input", "cached", "cache_write", "output")) + " FROM {priced} WHERE cost IS NOT NULL")
+@query("cost_parts", "SELECT id, " + ", ".join(r6(f"cost_{p}") + f" AS cost_{p}" for p in ("input", "cached", "cache_write", "output")) + " FROM {priced}")
 def cost_parts(t):
-    rows = t.priced.where("cost IS NOT NULL")
-    return rows.select("id", *[S.money(f"cost_{p}").alias(f"cost_{p}") for p in ("input", "cached", "cache_write", "output")])
+    return t.priced.select("id", *[S.money(f"cost_{p}").alias(f"cost_{p}") for p in ("input", "cached", "cache_write", "output")])
 
 
 @query("csv_safe", "SELECT id, CASE k % 4 WHEN 0 THEN '''=' || k WHEN 1 THEN '''-' || k WHEN 2 THEN 'a=' || k ELSE '''@' || k END AS cell FROM {usage_raw}")
@@ -168,16 +172,19 @@ def csv_safe(t):
 
 # --- process text --------------------------------------------------------------------------------------
 
-_OUTPUT = """concat('Wall time ', k / 4, ' seconds\\n', CASE k % 5 WHEN 0 THEN 'Process exited with code 0\\nexit code: 3\\n' WHEN 1 THEN concat('Exit code: ', k, '\\n')
- WHEN 2 THEN 'Process stopped with signal SIGTERM\\n' WHEN 3 THEN '{"exit_code":7,"output":"x"}\\n' ELSE 'no exit code: 5 here\\n' END)"""
+_OUTPUT = """concat('Wall time ', k / 4, ' seconds\\n', CASE k % 14 WHEN 0 THEN 'Process exited with code 0\\nexit code: 3\\n' WHEN 1 THEN concat('Exit code: ', k, '\\n')
+ WHEN 2 THEN 'Process stopped with signal SIGTERM\\n' WHEN 3 THEN '{"exit_code":7,"output":"x"}\\n' WHEN 4 THEN '{"meta":{"exit_code":7,"signal":"SIGHUP"}}\\n'
+ WHEN 5 THEN '{"exit_code":7,"signal":"SIGINT" broken\\n' WHEN 6 THEN '{"value":{"exit_code":4}}\\n' WHEN 7 THEN '{"status":"fulfilled","value":{"exit_code":4},"exit_code":9}\\n'
+ WHEN 8 THEN '{"value":{"signal":"SIGHUP"}}\\n{"signal":"SIGKILL"}\\n' WHEN 9 THEN '{"exit_code":1.5}\\n{"exit_code":"2"}\\n' WHEN 10 THEN '  Command failed with exit code -3...  \\r\\n'
+ WHEN 11 THEN '{"status":"fulfilled","exit_code":5}\\n' WHEN 12 THEN ' Process stopped with signal SIGINT\\nProcess stopped with signal SIGTERM now\\n' ELSE 'no exit code: 5 here\\n' END)"""
 
 
-@query("exit_code_of", "SELECT id, CASE k % 5 WHEN 0 THEN 3 WHEN 1 THEN k WHEN 3 THEN 7 END AS code FROM {usage_raw}")
+@query("exit_code_of", "SELECT id, CASE k % 14 WHEN 0 THEN 3 WHEN 1 THEN k WHEN 3 THEN 7 WHEN 7 THEN 4 WHEN 10 THEN -3 WHEN 11 THEN 5 END AS code FROM {usage_raw}")
 def exit_code_of(t):
     return _raw(t, o=_OUTPUT).select("id", T.exit_code_of("o").alias("code"))
 
 
-@query("signal_of", "SELECT id, CASE k % 5 WHEN 2 THEN 'SIGTERM' END AS signal FROM {usage_raw}")
+@query("signal_of", "SELECT id, CASE k % 14 WHEN 2 THEN 'SIGTERM' WHEN 8 THEN 'SIGKILL' END AS signal FROM {usage_raw}")
 def signal_of(t):
     return _raw(t, o=_OUTPUT).select("id", T.signal_of("o").alias("signal"))
 

@@ -265,10 +265,22 @@ def event_page_total(t):
     return pages.event_page(Q.select_events(t.usage_events, WINDOW))[0]
 
 
-@query("event_page_after", f"""{_PAGE_SQL} WHERE ts < 1705276800000 AND ts >= {START} ORDER BY ts DESC, agent, id LIMIT 100""")
+_TIED = "ts - ts % 3600000 AS ts"
+_TIED_ROW = _ROW.replace("ts", _TIED)
+
+
+@query("event_page_after", f"""WITH e AS (SELECT {_TIED_ROW}, path FROM {{usage_events}} WHERE ts >= {START} AND ts < {END}),
+n AS (SELECT *, row_number() OVER (ORDER BY ts DESC, agent, id) AS r, count(*) OVER (PARTITION BY ts) AS c FROM e),
+c AS (SELECT min(r) AS r FROM n WHERE r > 40 AND c > 4)
+SELECT {_ROW}, path FROM n WHERE r > (SELECT r FROM c) ORDER BY r LIMIT 100""")
 def event_page_after(t):
-    events = Q.select_events(t.usage_events, WINDOW).select(*_ROW.split(", "), "path")
-    return pages.page_after(events, (1705276800000 - 1, "~", "~"), 100)
+    """Pages by whole hours, so that the cursor stands among rows of its own time."""
+    rows = Q.select_events(t.usage_events, WINDOW).withColumn("ts", F.expr("ts - ts % 3600000"))
+    rows = rows.select(*_ROW.split(", "), "path")
+    crowded = rows.groupBy("ts").agg(F.count("*").alias("c")).where("c > 4")
+    ahead = pages.newest_first(rows).limit(2_000).join(crowded, "ts", "left").select("ts", "agent", "id", "c")
+    cursor = next((r for i, r in enumerate(pages.newest_first(ahead).collect()) if i >= 40 and r["c"]), None)
+    return pages.page_after(rows, cursor and (cursor["ts"], cursor["agent"], cursor["id"]), 100)
 
 
 @query("activity_page", f"{_SEMI_SQL} ORDER BY a.ts DESC, a.agent, a.id LIMIT 50 OFFSET 10")
@@ -320,11 +332,21 @@ def usage_share(t):
     return rows.select("key", S.money("usage_share").alias("usage_share"))
 
 
-_PRICED_AGENTS = f"SELECT agent AS key, {METRIC_SQL} FROM {{priced}} WHERE cost IS NOT NULL GROUP BY agent"
+_ALL_AGENTS = f"SELECT agent AS key, {METRIC_SQL} FROM {{priced}} GROUP BY agent"
 
 
-@query("cost_share", f"WITH m AS ({_PRICED_AGENTS}) SELECT key, {r6('cost / (SELECT sum(cost) FROM m)')} AS cost_share FROM m")
+@query("cost_share", f"WITH m AS ({_ALL_AGENTS}) SELECT key, {r6('CASE WHEN (SELECT count(*) FROM m WHERE cost IS NULL) = 0 THEN cost / (SELECT sum(cost) FROM m) END')} AS cost_share FROM m")
 def cost_share(t):
+    """Events without a price leave every share unknown."""
+    rows = R.with_shares(R.by_agent(t.priced, last=False))
+    return rows.select("key", S.money("cost_share").alias("cost_share"))
+
+
+_PRICED_AGENTS = f"SELECT agent AS key, {METRIC_SQL} FROM {{priced}} WHERE cost IS NOT NULL GROUP BY agent"
+
+
+@query("cost_share_priced", f"WITH m AS ({_PRICED_AGENTS}) SELECT key, {r6('cost / (SELECT sum(cost) FROM m)')} AS cost_share FROM m")
+def cost_share_priced(t):
     rows = R.with_shares(R.by_agent(t.priced.where("cost IS NOT NULL"), last=False))
     return rows.select("key", S.money("cost_share").alias("cost_share"))
 
@@ -346,25 +368,25 @@ def session_daily_rollup(t):
     return R.session_daily_rollup(t.raw_priced)
 
 
-@query("session_cost", f"SELECT path, {r6('coalesce(sum(cost), 0)')} AS cost FROM {{raw_priced}} WHERE agent = 'codex' GROUP BY path")
+@query("session_cost", f"SELECT path, {r6('coalesce(sum(cost), 0)')} AS cost FROM {{raw_priced}} GROUP BY path")
 def session_cost(t):
-    return R.session_cost(t.raw_priced.where("agent = 'codex'"))
+    return R.session_cost(t.raw_priced)
 
 
 _HIER = """SELECT f.path, f.title, CAST(coalesce(sum(r.input + r.cached + r.cache_write), 0) AS BIGINT) AS input,
  CAST(coalesce(sum(r.cached), 0) AS BIGINT) AS cached, CAST(coalesce(sum(r.output), 0) AS BIGINT) AS output
-FROM {source_files} f LEFT JOIN (SELECT * FROM {raw_events} WHERE path LIKE 'live/%') r ON r.path = f.path AND r.agent = f.agent
+FROM {source_files} f LEFT JOIN {raw_events} r ON r.path = f.path AND r.agent = f.agent
 GROUP BY f.path, f.title"""
 
 
 @query("session_hierarchy_totals", _HIER)
 def session_hierarchy_totals(t):
-    return R.session_hierarchy_totals(t.source_files, t.raw_events.where("path LIKE 'live/%'"))
+    return R.session_hierarchy_totals(t.source_files, t.raw_events)
 
 
 @query("files_events_agg_join", f"SELECT path, input + output AS tokens FROM ({_HIER}) h")
 def files_events_agg_join(t):
-    rows = R.session_hierarchy_totals(t.source_files, t.raw_events.where("path LIKE 'live/%'"))
+    rows = R.session_hierarchy_totals(t.source_files, t.raw_events)
     return rows.select("path", (F.col("input") + F.col("output")).alias("tokens"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,13 +20,16 @@ def ensure_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; only invented when the cluster names none."""
+    """The folder every executor can reach: the one the session names. A machine-local one is only
+    invented for a local master, where driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback

@@ -84,13 +84,14 @@ def list_files(spark: SparkSession, roots: Sequence[str] | str, glob: str = "*")
 def raw_lines_page(
     lines: DataFrame, ledger: DataFrame, path: str, start: int, limit: int, expected_size: int
 ) -> DataFrame:
-    """Lines ``start`` (from 0) onward of one file, at most two thousand. Refuses when the
-    ledger's size is not the one the caller saw."""
+    """Lines ``start`` (from 0) onward of one file. Refuses when the ledger's size is not the one the
+    caller saw, and a limit beyond PAGE_MAX."""
+    if not 1 <= limit <= PAGE_MAX:
+        raise ValueError(f"a page has 1 to {PAGE_MAX} lines, not {limit}")
     known = ledger.where(F.col("path") == path).select("size").first()
     if known is None:
         raise FileChanged(f"not indexed: {path}")
     if expected_size >= 0 and known["size"] != expected_size:
         raise FileChanged(f"changed since it was opened: {path}")
-    size = min(max(limit, 1), PAGE_MAX)
-    chosen = (F.col("path") == path) & (F.col("line") > start) & (F.col("line") <= start + size)
+    chosen = (F.col("path") == path) & (F.col("line") > start) & (F.col("line") <= start + limit)
     return lines.where(chosen).select("line", F.rtrim("value", F.lit("\r")).alias("value")).orderBy("line")

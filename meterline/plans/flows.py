@@ -10,7 +10,7 @@ from ..schema import TOKENS
 from ..session import scratch_path
 from ..sinks import exports as W
 from ..sources import files as X, normalize as N
-from ..streaming import jobs as J
+from ..streaming import jobs as J, refresh as RF
 from .inputs import EVENT_COLUMNS, END, START, USD_CNY, r6
 from .logs import _json
 from .registry import query
@@ -65,23 +65,68 @@ def _in_two(t, df, first: str, folder: str):
     yield t.spark.readStream.schema(df.schema).parquet(folder)
 
 
-@query("stream_ingest", "SELECT id, session, ts FROM {usage_raw}")
-def stream_ingest(t):
-    source, sink, mark = [scratch_path(t.spark, n) for n in ("in", "sink", "mark")]
-    text = t.usage_raw.select("event_id", _json(id="=id", session="=session", ts="=ts").alias("value"))
+# Names with a blank, a percent sign and pattern characters are file names like any other.
+_NAMES = ("plain.txt", "with blank.txt", "per%20cent.txt", "[odd]{x}.txt")
+
 
+def _publish(t, rows, folder: str) -> None:
+    """Writes [file (number), value] rows as one file per number below ``folder``, over what is there: for a
+    reader, a file that was there before has grown or changed."""
+    made = scratch_path(t.spark, "made")
+    rows.repartition("file").sortWithinPartitions("file", "value").write.partitionBy("file").text(made)
+    hadoop = t.spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(made).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop.Path(folder))
+    for number, name in enumerate(_NAMES):
+        here = hadoop.Path(f"{made}/file={number}")
+        for status in system.listStatus(here) if system.exists(here) else ():
+            if status.getPath().getName().startswith("part-"):
+                system.delete(hadoop.Path(hadoop.Path(folder), name), False)
+                system.rename(status.getPath(), hadoop.Path(hadoop.Path(folder), name))
+
+
+def _reader(t):
     def read(paths: list[str]):
-        v = N.parsed(X.scan_jsonl(t.spark, paths, "*.txt"))
-        return v.selectExpr(
-            "path", "try_variant_get(v, '$.id', 'string') AS id", "try_variant_get(v, '$.session', 'string') AS session",
-            "try_variant_get(v, '$.ts', 'bigint') AS ts",
-        )
+        v = N.parsed(X.scan_jsonl(t.spark, paths, "*"))
+        get = lambda name, kind: f"try_variant_get(v, '$.{name}', '{kind}') AS {name}"
+        return v.selectExpr("path", "'log' AS agent", get("id", "string"), get("session", "string"), get("ts", "bigint"), get("output", "bigint"))
+
+    return read
 
-    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
-        text.where(part).select("value").write.mode("append").text(source)
-        J.stream_ingest(t.spark, source, "*.txt", read, sink, mark)
-    rows = J.ingested(t.spark, sink, "path string, id string, session string, ts long")
-    return rows.select("id", "session", "ts")
+
+_FILE = f"event_id % {len(_NAMES)} AS file"
+
+
+@query("stream_ingest", "SELECT id, session, ts FROM {usage_raw}")
+def stream_ingest(t):
+    """Half of each file arrives first; then the same files have grown by the other half."""
+    source, sink = [scratch_path(t.spark, n) for n in ("in", "sink")]
+    text = t.usage_raw.withColumn("value", _json(id="=id", session="=session", ts="=ts", output="=output")).selectExpr("value", _FILE, "event_id")
+    for part in (text.where("event_id % 8 < 4"), text):
+        _publish(t, part.select("value", "file"), source)
+        J.stream_ingest(t.spark, source, "*.txt", _reader(t), sink)
+    return J.ingested(t.spark, sink).select("id", "session", "ts")
+
+
+@query("refresh", """SELECT id, output, file FROM (SELECT id, output + CASE WHEN file = 1 THEN 7 ELSE 0 END AS output, file,
+ row_number() OVER (PARTITION BY id ORDER BY ts + CASE WHEN file = 1 THEN 5 ELSE 0 END DESC, file) AS rn FROM (
+ SELECT id, output, ts, event_id % 4 AS file FROM {usage_raw} UNION ALL SELECT id, output, ts, 1 FROM {usage_raw} WHERE k % 10 = 0) u WHERE file <> 3) e WHERE rn = 1""")
+def refresh(t):
+    """Four files with copies across them; then one has changed and one has vanished. Winners after both rounds."""
+    source, sink = [scratch_path(t.spark, n) for n in ("in", "sink")]
+    raw = t.usage_raw.selectExpr("id", "session", "ts", "output", "k", _FILE)
+    both = raw.unionByName(raw.where("k % 10 = 0").withColumn("file", F.lit(1).cast(raw.schema["file"].dataType)))
+    value = lambda rows: rows.select(_json(id="=id", session="=session", ts="=ts", output="=output").alias("value"), "file")
+    _publish(t, value(both), source)
+    RF.refresh(t.spark, source, "*.txt", _reader(t), sink, "log")
+    _publish(t, value(both.where("file = 1").withColumns({"output": F.col("output") + 7, "ts": F.col("ts") + 5})), source)
+    hadoop = t.spark._jvm.org.apache.hadoop.fs
+    gone = hadoop.Path(hadoop.Path(source), _NAMES[3])
+    gone.getFileSystem(t.spark._jsc.hadoopConfiguration()).delete(gone, False)
+    RF.refresh(t.spark, source, "*.txt", _reader(t), sink, "log")
+    name = F.substring_index("path", "/", -1)
+    number = F.coalesce(*[F.when(name == n, F.lit(i)) for i, n in enumerate(_NAMES)])
+    return RF.current_rows(t.spark, sink, "winners").select("id", "output", number.cast("bigint").alias("file"))
 
 
 _TOTALS = ", ".join(f"lag({c}) OVER w AS p_{c[2:]}" for c in ("c_input", "c_cached", "c_cache_write", "c_output", "c_reasoning"))
@@ -116,14 +161,8 @@ def stream_elect(t):
 def stream_series(t):
     source, sink, mark = [scratch_path(t.spark, n) for n in ("in", "sink", "mark")]
     rows = t.usage_raw.select("ts", *TOKENS)
-    rows.write.parquet(source)
-    stream = J.stream_series(t.spark.readStream.schema(rows.schema).parquet(source), 3_600_000)
-
-    def handle(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    query = stream.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    query.awaitTermination()
-    log = t.spark.read.parquet(sink)
-    newest = F.max_by(F.struct(*TOKENS, "events"), "batch").alias("n")
-    return log.groupBy("bucket").agg(newest).select("bucket", "n.events", *[f"n.{c}" for c in TOKENS])
+    middle = rows.agg(F.expr("CAST(avg(ts) AS BIGINT)").alias("m")).first()["m"]
+    for stream in _in_two(t, rows, f"ts >= {middle or 0}", source):  # the older half comes last
+        J.stream_series(stream, 3_600_000, sink, mark)
+    J.compact_series(t.spark, sink)
+    return J.series(t.spark, sink).select("bucket", "events", *TOKENS)

@@ -120,11 +120,17 @@ def snapshot_ledger(t):
     return C.snapshot_ledger(t.snapshots).select(*_SNAP_COLUMNS)
 
 
-@query("late_snapshot_rebase", f"SELECT session, CAST(sum(input + cached + cache_write + output) AS BIGINT) AS booked FROM ({_SNAP_DELTA}) x GROUP BY session")
+_EARLY_DELTA = _SNAP_DELTA.replace("FROM {snapshots} GROUP BY", "FROM {snapshots} WHERE ts % 5 <> 0 GROUP BY")
+_BOOKED = "SELECT session, CAST(sum(input + cached + cache_write + output) AS BIGINT) AS booked FROM ({}) x GROUP BY session"
+
+
+@query("late_snapshot_rebase", f"""SELECT coalesce(a.session, b.session) AS session, a.booked AS before_late, b.booked AS booked
+ FROM ({_BOOKED.format(_EARLY_DELTA)}) a FULL JOIN ({_BOOKED.format(_SNAP_DELTA)}) b ON a.session = b.session""")
 def late_snapshot_rebase(t):
+    """What the early snapshots book, and what all book once the late, older ones have come: they split baselines."""
     early, late = t.snapshots.where("ts % 5 != 0"), t.snapshots.where("ts % 5 = 0")
-    rows = C.snapshot_ledger(early.unionByName(late))
-    return rows.groupBy("session").agg(S.saturating_sum(S.total_tokens()).alias("booked"))
+    booked = lambda rows, name: C.snapshot_ledger(rows).groupBy("session").agg(S.saturating_sum(S.total_tokens()).alias(name))
+    return booked(early, "before_late").join(booked(early.unionByName(late), "booked"), "session", "full")
 
 
 # --- election ----------------------------------------------------------------------------------------

@@ -93,11 +93,13 @@ def scan_jsonl_zst(t):
     return _read_back(X.scan_jsonl_zst(t.spark, folder))
 
 
-@query("file_fingerprint")
+@query("file_fingerprint", "SELECT 'user=' || user_id % 7 AS folder, CAST(sum(length(id) + 1) AS BIGINT) AS size, true AS dated FROM {usage_raw} GROUP BY 1")
 def file_fingerprint(t):
-    return X.list_files(t.spark, f"{t.sf_dir}/events.parquet").select(
-        F.substring_index("path", "/", -1).alias("name"), "size", (F.col("mtime_ms") > 0).alias("dated")
-    )
+    """Files of known bytes, one folder per user group; the text is ASCII and every line ends."""
+    folder = scratch_path(t.spark, "bytes")
+    t.usage_raw.selectExpr("id", "user_id % 7 AS user").write.partitionBy("user").text(folder)
+    found = X.list_files(t.spark, folder, "part-*").withColumn("folder", F.element_at(F.split("path", "/"), -2))
+    return found.groupBy("folder").agg(F.sum("size").alias("size"), (F.min("mtime_ms") > 0).alias("dated"))
 
 
 @query("raw_lines_page", "SELECT event_id AS line, id AS value FROM {usage_raw} WHERE event_id > 20 AND event_id <= 120")

@@ -22,8 +22,12 @@ class FileChanged(RuntimeError):
     """The file is not the one the page was opened on."""
 
 
+def _without_scheme(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:(//)?", "")
+
+
 def _plain_path(uri: Column) -> Column:
-    return F.regexp_replace(percent_decode(uri), "^file:(//)?", "")
+    return _without_scheme(percent_decode(uri))
 
 
 def scan_jsonl(
@@ -76,7 +80,7 @@ def list_files(spark: SparkSession, roots: Sequence[str] | str, glob: str = "*")
         .load(list(roots) if not isinstance(roots, str) else roots)
     )
     return listing.select(
-        _plain_path(F.col("path")).alias("path"), F.col("length").alias("size"),
+        _without_scheme(F.col("path")).alias("path"), F.col("length").alias("size"),  # not encoded here
         F.unix_millis("modificationTime").alias("mtime_ms"),
     )
 

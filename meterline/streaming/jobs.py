@@ -10,60 +10,52 @@ from ..functions import scalars as S
 from ..operators.counters import COUNTERS, cumulative_delta
 from ..operators.elect import first_by
 from ..operators.ordered import LINES_PER_SLICE
-from .logs import BATCH, latest, read_log, run_available, write_batch
+from .logs import BATCH, compact, drop_before, newest_batch, read_log, run_available, write_batch
+from .refresh import current_rows, refresh
 
 LAST = ("last_input", "last_cached", "last_cache_write", "last_output", "last_reasoning")
+TOKENS = ("input", "cached", "cache_write", "output", "reasoning")
 
 
-def stream_lines(spark: SparkSession, roots: str, glob: str, files_per_batch: int = 10_000) -> DataFrame:
-    """New files as [path, value] rows, as they appear. A batch takes a bounded number of files,
-    so the list of their names stays small."""
-    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(roots).select(F.col("_metadata.file_path").alias("path"), "value")
-
-
-def stream_ingest(
-    spark: SparkSession, roots: str, glob: str, read: Callable[[list[str]], DataFrame], sink: str, checkpoint: str
-):
-    """Ingests new files: each batch re-reads its files whole, with line numbers, through
-    ``read`` (paths to events) and logs the rows. A file that comes again replaces its rows."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        paths = [r["path"] for r in batch.select("path").dropDuplicates().toLocalIterator()]
-        if paths:
-            write_batch(read(paths), f"{sink}/events", batch_id)
-
-    return run_available(stream_lines(spark, roots, glob), handle, checkpoint)
+def stream_ingest(spark: SparkSession, roots: str, glob: str, read: Callable[[list[str]], DataFrame], sink: str, agent: str = "log") -> dict[str, int]:
+    """Ingests until a listing shows nothing new: new and grown files are read again whole through ``read``
+    (paths to rows with a path), and their rows give way to the new ones. Call it again for what comes later.
+    """
+    total = {"read": 0, "vanished": 0}
+    while any((done := refresh(spark, roots, glob, read, sink, agent, winners=False)).values()):
+        total = {k: total[k] + done[k] for k in total}
+    return total
 
 
-def ingested(spark: SparkSession, sink: str, schema) -> DataFrame:
-    """Current rows: per file those of the last batch that read it."""
-    log = read_log(spark, f"{sink}/events", schema)
-    newest = log.groupBy("path").agg(F.max(BATCH).alias(BATCH))
-    return log.join(newest, ["path", BATCH], "left_semi").drop(BATCH)
+def ingested(spark: SparkSession, sink: str) -> DataFrame:
+    return current_rows(spark, sink)
 
 
 def stream_delta(samples: DataFrame, sink: str, checkpoint: str, spelling: str | None = None):
     """Running totals to per-request usage across batches, by the batch operator's own rules.
 
-    The state is one sample per path, logged beside the output. A batch joins it to its own
-    samples, so a busy path is sliced like in batch mode. Samples of a path arrive in order.
+    The state is one sample per path, kept as one snapshot beside the output; a batch reads the snapshot
+    before it and writes its own, so the cost of a batch doesn't grow with their number. A batch joins
+    the state to its own samples, so a busy path is sliced like in batch mode. Samples of a path arrive
+    in order.
     """
     columns = ["path", "line", *COUNTERS, *([spelling] if spelling else []), *LAST]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.withColumn("_new", F.lit(True))
-        state = read_log(spark, f"{sink}/state", batch.schema, before=batch_id)
+        spark, folder = batch.sparkSession, f"{sink}/state"
+        at = newest_batch(spark, folder, batch_id)
+        state = spark.createDataFrame([], batch.schema) if at is None else spark.read.schema(batch.schema).parquet(f"{folder}/{BATCH}={at}")
         touched = batch.select("path").dropDuplicates()
-        before = latest(state.join(touched, ["path"], "left_semi"), ["path"]).withColumn("_new", F.lit(False))
-        both = fresh.unionByName(before)
+        before = state.join(touched, ["path"], "left_semi").withColumn("_new", F.lit(False))
+        both = batch.withColumn("_new", F.lit(True)).unionByName(before)
         usage = cumulative_delta(both, ["path"], ["line"], spelling, LINES_PER_SLICE)
         write_batch(usage.where("_new AND input IS NOT NULL").drop("_new"), f"{sink}/usage", batch_id)
-        rest = [c for c in batch.columns if c not in ("path",)]
+        rest = [c for c in batch.columns if c != "path"]
         tail = batch.groupBy("path").agg(F.max_by(F.struct(*rest), "line").alias("_t")).select("path", "_t.*")
-        write_batch(tail.select(batch.columns), f"{sink}/state", batch_id)
+        others = state.join(touched, ["path"], "left_anti")
+        write_batch(others.unionByName(tail.select(batch.columns)), folder, batch_id)
+        if at is not None:
+            drop_before(spark, folder, at)  # the snapshot before stays, for a repeat of this batch
 
     missing = [c for c in columns if c not in samples.columns]
     if missing:
@@ -71,35 +63,48 @@ def stream_delta(samples: DataFrame, sink: str, checkpoint: str, spelling: str |
     return run_available(samples, handle, checkpoint)
 
 
+def _winning(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return first_by(rows, keys, [F.col("ts").desc(), F.col("mtime").desc(), F.col("path").asc()])
+
+
 def stream_elect(raw: DataFrame, sink: str, checkpoint: str, keys: Sequence[str] = ("agent", "id")):
     """Keeps the winner per identity as copies arrive, however late: no watermark.
 
-    The election is a maximum, so the previous winners of the touched keys and the new rows
-    are all a batch needs. ``raw`` carries its file's mtime.
+    Election is a maximum, so a batch logs its own winners and the reader takes the best of all batches.
+    ``raw`` carries its file's mtime.
     """
+    return run_available(raw, lambda batch, n: write_batch(_winning(batch, keys), f"{sink}/winners", n), checkpoint)
+
+
+def winners(spark: SparkSession, sink: str, schema, keys: Sequence[str] = ("agent", "id")) -> DataFrame:
+    return _winning(read_log(spark, f"{sink}/winners", schema).drop(BATCH), keys)
+
+
+def compact_winners(spark: SparkSession, sink: str, schema, keys: Sequence[str] = ("agent", "id")) -> None:
+    compact(spark, f"{sink}/winners", schema, lambda rows: _winning(rows, keys))
+
+
+_SERIES = ", ".join(f"{c} long" for c in ("bucket", *TOKENS, "events"))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("bucket").agg(*[S.saturating_sum(c).alias(c) for c in TOKENS], F.sum("events").alias("events"))
+
+
+def stream_series(events: DataFrame, width_ms: int, sink: str, checkpoint: str, offset_ms: int = 0):
+    """Usage per tumbling bucket. A batch logs its own sums and the reader adds them up, so a row counts
+    however late it comes."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        touched = batch.select(*keys).dropDuplicates()
-        log = read_log(spark, f"{sink}/winners", batch.schema, before=batch_id)
-        before = latest(log.join(touched, list(keys), "left_semi"), keys)
-        order = [F.col("ts").desc(), F.col("mtime").desc(), F.col("path").asc()]
-        write_batch(first_by(batch.unionByName(before), keys, order), f"{sink}/winners", batch_id)
+        rows = batch.withColumn("bucket", S.bucket_floor("ts", width_ms, offset_ms)).withColumn("events", F.lit(1).cast("bigint"))
+        write_batch(_summed(rows), f"{sink}/series", batch_id)
 
-    return run_available(raw, handle, checkpoint)
+    return run_available(events, handle, checkpoint)
 
 
-def winners(spark: SparkSession, sink: str, schema, keys: Sequence[str] = ("agent", "id")) -> DataFrame:
-    return latest(read_log(spark, f"{sink}/winners", schema), keys)
-
-
-def stream_series(events: DataFrame, width_ms: int, offset_ms: int = 0, delay: str = "1 hour") -> DataFrame:
-    """Usage per tumbling bucket as a streaming table. Rows later than ``delay`` are dropped
-    here; the batch series stays the truth."""
-    width = f"{width_ms} milliseconds"
-    start = f"{(-offset_ms) % width_ms} milliseconds"
-    timed = events.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", delay)
-    return timed.groupBy(F.window("at", width, width, start)).agg(
-        *[S.saturating_sum(c).alias(c) for c in ("input", "cached", "cache_write", "output", "reasoning")],
-        F.count(F.lit(1)).alias("events"),
-    ).select(F.unix_millis("window.start").alias("bucket"), "input", "cached", "cache_write", "output", "reasoning", "events")
+def series(spark: SparkSession, sink: str) -> DataFrame:
+    return _summed(read_log(spark, f"{sink}/series", _SERIES).drop(BATCH))
+
+
+def compact_series(spark: SparkSession, sink: str) -> None:
+    compact(spark, f"{sink}/series", _SERIES, _summed)

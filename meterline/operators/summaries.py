@@ -265,16 +265,16 @@ def dashboard(long_form: DataFrame, q: Query) -> dict[str, DataFrame]:
 def with_shares(rows: DataFrame) -> DataFrame:
     """Share of usage and of cost; cost shares only exist when every cost is known.
 
-    The grand total is one aggregate row joined back, not a window over one partition.
+    The grand totals are scalar subqueries over one aggregate row, not a join or a window over one partition.
     """
     grand = rows.agg(
         F.sum(F.col("total_tokens").cast("double")).alias("_tokens"),
         F.when(F.count_if(F.col("cost").isNull()) == 0, F.sum("cost")).alias("_cost"),
     )
-    joined = rows.withColumn("_one", F.lit(1)).join(grand.withColumn("_one", F.lit(1)), "_one", "left")
+    joined = rows.withColumns({"_tokens": grand.select("_tokens").scalar(), "_cost": grand.select("_cost").scalar()})
     usage = F.when(F.col("_tokens") > 0, F.col("total_tokens") / F.col("_tokens"))
     cost = F.when((F.col("_cost") > 0) & F.col("cost").isNotNull(), F.col("cost") / F.col("_cost"))
-    return joined.withColumns({"usage_share": usage, "cost_share": cost}).drop("_one", "_tokens", "_cost")
+    return joined.withColumns({"usage_share": usage, "cost_share": cost}).drop("_tokens", "_cost")
 
 
 def sort_summaries(rows: DataFrame, column: str, descending: bool) -> DataFrame:

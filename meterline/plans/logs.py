@@ -345,6 +345,20 @@ def scan_usage_tables(t):
     return B.normalize_model_usage(_model_usage(t), _sessions(t), "zcode", "db/usage")[0].select(*_OUT)
 
 
+def _tool_usage(t):
+    return t.usage_raw.selectExpr("event_id AS rowid", "IF(k % 7 = 0, NULL, session) AS session_id", "CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE event_type END AS tool_name", "ts AS started_at")
+
+
+@query("scan_tool_usage", "SELECT session || ':' || event_id AS id, 'zcode' AS agent, session, ts, event_type AS name FROM {usage_raw} WHERE k % 7 <> 0 AND k % 5 > 1")
+def scan_tool_usage(t):
+    return B.normalize_tool_usage(_tool_usage(t), "zcode", "db/usage")[0].select("id", "agent", "session", "ts", "name")
+
+
+@query("scan_tool_malformed", "SELECT count(*) FILTER (k % 7 = 0 OR k % 5 = 1) AS malformed FROM {usage_raw}")
+def scan_tool_malformed(t):
+    return B.normalize_tool_usage(_tool_usage(t), "zcode", "db/usage")[1]
+
+
 @query("session_dir_join", f"SELECT id, {_PROJECT} AS project FROM {{usage_raw}}")
 def session_dir_join(t):
     return B.with_directory(_model_usage(t), _sessions(t)).select("id", "project")

@@ -35,12 +35,15 @@ def normalize_model_usage(
     return event_rows(rows, agent), model_usage.agg(F.count_if(~usable).alias("malformed"))
 
 
-def normalize_tool_usage(tool_usage: DataFrame, agent: str, path: str) -> DataFrame:
-    calls = tool_usage.where("session_id IS NOT NULL AND tool_name IS NOT NULL AND started_at IS NOT NULL").select(
+def normalize_tool_usage(tool_usage: DataFrame, agent: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """(activities, one-row malformed count). A call without a session, name or time is lost by itself; one
+    with an empty name is no call."""
+    usable = F.col("session_id").isNotNull() & F.col("tool_name").isNotNull() & F.col("started_at").isNotNull()
+    calls = tool_usage.where(usable).select(
         F.col("session_id").alias("session"), F.col("tool_name").alias("name"), F.col("started_at").alias("ts"),
         F.col("rowid").cast("string").alias("call_id"), F.lit(path).alias("path"), F.lit(0).cast("bigint").alias("line"),
     )
-    return activity_rows(calls, agent)
+    return activity_rows(calls, agent), tool_usage.agg(F.count_if(~usable).alias("malformed"))
 
 
 def normalize_message_table(

@@ -162,21 +162,18 @@ def series(priced: DataFrame, q: Query) -> DataFrame:
 
 # --- the whole dashboard from one pass ------------------------------------------------------
 
-CELL = ("agent", "session", "model_key", "project_key", "day", "bucket")
-DIMENSIONS = {
-    "total": (), "model": ("model_key",), "project": ("project_key",), "agent": ("agent",),
-    "session": ("agent", "session"), "day": ("day",), "month": ("month",), "series": ("bucket",),
+FOLDS = {
+    ("agent", "session"): {"session": ("agent", "session"), "agent": ("agent",), "total": ()},
+    ("day", "bucket"): {"series": ("bucket",), "day": ("day",), "month": ("month",)},
+    ("model_key", "project_key"): {"model": ("model_key",), "project": ("project_key",)},
 }
+DIMENSIONS = tuple(name for groups in FOLDS.values() for name in groups)
 
 
-def cells(priced: DataFrame, files: DataFrame, q: Query) -> DataFrame:
-    """Events folded once to the finest grain any dashboard group needs.
-
-    The map side already folds equal cells, so what is shuffled and what the groupings read
-    afterwards shrinks with the number of requests per session and bucket.
-    """
+def keyed_events(priced: DataFrame, files: DataFrame, q: Query) -> DataFrame:
+    """Events with the columns that dashboard groups are keyed by."""
     shift = q.offset_minutes * MINUTE
-    keyed = with_titles(priced, files).withColumns(
+    return with_titles(priced, files).withColumns(
         {
             "model_key": S.model_key(),
             "project_key": S.project_key("project"),
@@ -184,11 +181,6 @@ def cells(priced: DataFrame, files: DataFrame, q: Query) -> DataFrame:
             "bucket": S.bucket_floor("ts", bucket_width(q), shift),
         }
     )
-    first = F.min(
-        F.struct("ts", "id", project_label().alias("project_label"), session_label().alias("session_label"))
-    ).alias("_first")
-    folded = keyed.groupBy(*CELL).agg(*metric_aggs(last=True), first)
-    return folded.withColumn("month", F.substring("day", 1, 7))
 
 
 def _refold() -> list[Column]:
@@ -212,31 +204,34 @@ def _refold() -> list[Column]:
 def dashboard_all(priced: DataFrame, files: DataFrame, q: Query) -> DataFrame:
     """All groupings of one window in long form: dimension, key, label, metrics.
 
-    One aggregation over cells with GROUPING SETS; ``grouping`` tells a grouped-away column
-    from a NULL key.
+    One aggregation folds the events by three pairs of columns with GROUPING SETS (``grouping`` tells a
+    grouped-away column from a NULL key). The eight groupings are summaries of these folds, which
+    are as small as the answer, so events and their texts are expanded threefold and not eightfold.
     """
-    base = cells(priced, files, q)
-    names = ("model_key", "project_key", "agent", "session", "day", "month", "bucket")
-    sets = [[F.col(c) for c in cols] for cols in DIMENSIONS.values()]
-    grouped = base.groupingSets(sets, *[F.col(n) for n in names]).agg(
-        *_refold(), *[F.grouping(n).alias(f"_g_{n}") for n in names]
-    )
-
-    def kept(*cols: str) -> Column:
-        out = F.lit(True)
-        for n in names:
-            out = out & (F.col(f"_g_{n}") == (0 if n in cols else 1))
-        return out
-
-    dimension, key, label = None, None, None
-    for name, cols in DIMENSIONS.items():
-        value = F.lit("") if not cols else F.concat_ws(":", *[F.col(c).cast("string") for c in cols])
-        shown = {"project": F.col("_first.project_label"), "session": F.col("_first.session_label")}.get(name, value)
-        test = kept(*cols)
-        dimension = F.when(test, name) if dimension is None else dimension.when(test, name)
-        key = F.when(test, value) if key is None else key.when(test, value)
-        label = F.when(test, shown) if label is None else label.when(test, shown)
-    out = grouped.withColumns({"dimension": dimension, "key": key, "label": label})
+    base = keyed_events(priced, files, q)
+    first = F.min(
+        F.struct("ts", "id", project_label().alias("project_label"), session_label().alias("session_label"))
+    ).alias("_first")
+    names = [n for cols in FOLDS for n in cols]
+    folded = base.groupingSets([[F.col(c) for c in cols] for cols in FOLDS], *[F.col(n) for n in names]).agg(
+        *metric_aggs(last=True), first, *[F.grouping(cols[0]).alias(f"_g_{cols[0]}") for cols in FOLDS]
+    ).withColumn("month", F.substring("day", 1, 7))
+
+    def entry(name: str, cols: tuple[str, ...]) -> Column:
+        value = F.concat_ws(":", *[F.col(c).cast("string") for c in cols]) if cols else F.lit("")
+        known = F.concat(*[F.col(c).isNull().cast("string") for c in cols]) if cols else F.lit("")
+        return F.struct(F.lit(name).alias("dimension"), value.alias("key"), known.alias("nulls"))
+
+    targets = None
+    for cols, groups in FOLDS.items():
+        entries = F.array(*[entry(name, by) for name, by in groups.items()])
+        test = F.col(f"_g_{cols[0]}") == 0
+        targets = F.when(test, entries) if targets is None else targets.when(test, entries)
+    keys = ["dimension", "key", "nulls"]
+    out = folded.withColumn("_t", F.explode(targets)).withColumns({k: F.col(f"_t.{k}") for k in keys}).groupBy(*keys).agg(*_refold())
+    shown = {"project": F.col("_first.project_label"), "session": F.col("_first.session_label")}
+    label = F.coalesce(*[F.when(F.col("dimension") == n, v) for n, v in shown.items()], F.col("key"))
+    out = out.withColumn("label", label)
     return rounded(_unpack(out, True)).select("dimension", "key", "label", *METRICS, *LAST)
 
 

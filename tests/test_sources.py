@@ -223,3 +223,21 @@ def test_scan_states(rows):
     got = {r.agent: r.state for r in L.scan_status(results, agents, ["f"]).collect()}
     assert got == {"a": "error", "b": "degraded", "c": "warning", "d": "ready", "e": "missing", "f": "disabled"}
     assert [r.error for r in L.scan_errors(results).collect()] == ["bad"]
+
+
+def test_golden_log_of_running_totals(rows):
+    """Seven samples give six events: first sample, differences, another spelling, both spellings, a fall, a repeat."""
+    write, create = "cache_write_input_tokens", "cache_creation_input_tokens"
+    both = lambda i, c, a, b, o, r: {**usage(i, c, o, a, create, r), write: b}
+    log = HEAD + [
+        count(usage(800_000, 600_000, 50_000, 30_000, r=20_000), usage(800_000, 600_000, 50_000, 30_000, r=20_000)),
+        count(usage(1_200_000, 900_000, 80_000, 40_000, r=30_000), usage(400_000, 300_000, 30_000, 10_000, r=10_000)),
+        count(usage(1_400_000, 1_000_000, 100_000, 60_000, create, 35_000), usage(200_000, 100_000, 20_000, 20_000, create, 5_000)),
+        count(both(1_600_000, 1_100_000, 80_000, 90_000, 130_000, 40_000), both(200_000, 100_000, 80_000, 90_000, 30_000, 5_000)),
+        count(usage(300_000, 100_000, 40_000, 5_000, r=15_000), usage(300_000, 100_000, 40_000, 5_000, r=15_000)),
+        count(usage(500_000, 150_000, 60_000, 8_000, r=20_000), usage(200_000, 50_000, 20_000, 3_000, r=5_000)),
+        count(usage(500_000, 150_000, 60_000, 8_000, r=20_000), usage(200_000, 50_000, 20_000, 3_000, r=5_000)),
+    ]
+    events = N.norm_cumulative_log(lines_of(rows, "r/golden.jsonl", log), "codex")["events"].orderBy("line").collect()
+    assert [e["input"] + e["cached"] + e["cache_write"] + e["output"] for e in events] == [880_000, 440_000, 240_000, 230_000, 345_000, 223_000]
+    assert sum(e["cached"] for e in events) == 1_250_000

@@ -1,7 +1,7 @@
 """Token ids as raw binary files, each with a minimal perfect hash index for access by document key.
 
-``name.ids`` holds unsigned 32-bit little-endian ids and nothing else. ``name.idx`` holds the keys in
-file order and, by hash slot, a 64-bit fingerprint, the offset and the number of ids. The hash is
+``name.ids`` holds unsigned little-endian ids and nothing else, of 16 bits where the vocabulary allows it and
+of 32 bits elsewhere. ``name.idx`` holds the keys in file order and, by hash slot, a 64-bit fingerprint, the offset and the number of ids. The hash is
 hash-and-displace: keys go to buckets, buckets (largest first) take the first displacement that
 puts their keys on free slots, buckets of one key name their slot. As many slots as keys, one probe
 per lookup, and a fingerprint that turns away (all but one in 2**64) foreign keys.
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_path, store
-from .common import ids_and_texts, mixed, partitions
+from .common import VOCABULARY, ids_and_texts, mixed, partitions, words_of
 
 END_ID = 2
 FILE_IDS = 16_000_000
@@ -156,20 +156,51 @@ def _get(folder: str, name: str) -> bytes:
         return source.readall()
 
 
-def _encoder(tokenizer_path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts as bytes. ``word_wise`` is for tokenizers that split at white space and drop it: words
+    are encoded once per worker and texts are put together from them. Others take whole texts.
+    """
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __init__(self, tokenizer_path: str, end_id: int, word_wise: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
+        self.tokenizer, self.word_wise, self.known = Tokenizer.from_file(tokenizer_path), word_wise, {}
+        self.kind = "<u2" if max(end_id, self.tokenizer.get_vocab_size() - 1) < 1 << 16 else "<u4"
+        self.end = np.array([end_id], self.kind).tobytes()
 
-_MANIFEST = "part int, seq int, name string, n_docs long, n_ids long"
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.word_wise:
+            return [ids + self.end for ids in self._encode([t or "" for t in texts])]
+        if len(self.known) >= VOCABULARY:
+            self.known.clear()
+        split = [words_of(t) for t in texts]
+        new = [*set().union(*split).difference(self.known)]
+        self.known.update(zip(new, self._encode([w.decode("utf-8", "surrogatepass") for w in new]), strict=True))
+        of = self.known.__getitem__
+        return [b"".join([*map(of, words), self.end]) for words in split]
 
-def _writer(folder: str, tokenizer_path: str, end_id: int):
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(*key) -> Encoder:
+    """One per worker process, so that tasks that follow one another know the words."""
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
+
+
+_MANIFEST = "part int, seq int, name string, kind string, n_docs long, n_ids long"
+
+
+def _writer(folder: str, tokenizer_path: str, end_id: int, word_wise: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, end_id, word_wise)
+        width = int(encode.kind[-1])
         part, seq, last, turn = TaskContext.get().partitionId(), 0, object(), 0
         keys, lengths, payload, held = [], [], [], 0
 
@@ -177,20 +208,20 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
             name = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}"
             _put(folder, f"{name}.ids", b"".join(payload))
             _put(folder, f"{name}.idx", index_bytes(keys, np.array(lengths, np.int64)))
-            rows = [[part], [seq], [name], [len(keys)], [held]]
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["part", "seq", "name", "n_docs", "n_ids"])
+            rows = [[part], [seq], [name], [encode.kind], [len(keys)], [held]]
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["part", "seq", "name", "kind", "n_docs", "n_ids"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for start in range(0, len(ids), 256):
                 for doc_id, tokens in zip(ids[start : start + 256], encode(texts[start : start + 256]), strict=True):
                     turn = turn + 1 if doc_id == last else 0
                     last = doc_id
                     keys.append((doc_id, turn))
-                    payload.append(np.array([*tokens, end_id], "<u4").tobytes())
-                    lengths.append(len(tokens) + 1)
-                    held += len(tokens) + 1
+                    payload.append(tokens)
+                    lengths.append(len(tokens) // width)
+                    held += len(tokens) // width
                 if held >= FILE_IDS:
                     yield close()
                     keys, lengths, payload, held, seq = [], [], [], 0, seq + 1
@@ -200,11 +231,11 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Writes the files in ascending order of id; the manifest (part, seq, name, n_docs, n_ids, start)."""
+def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = END_ID, word_wise: bool = True) -> DataFrame:
+    """Writes the files in ascending order of id; the manifest (part, seq, name, kind, n_docs, n_ids, start)."""
     rows = ids_and_texts(docs).withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    manifest = store(ordered.mapInArrow(_writer(folder, tokenizer_path or default_tokenizer(), end_id), _MANIFEST), "token-manifest")
+    manifest = store(ordered.mapInArrow(_writer(folder, tokenizer_path or default_tokenizer(), end_id, word_wise), _MANIFEST), "token-manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -212,10 +243,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
 def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                index, payload = TokenIndex(_get(folder, f"{name}.idx")), memoryview(_get(folder, f"{name}.ids"))
+            for name, start, kind in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                index, payload = TokenIndex(_get(folder, f"{name}.idx")), np.frombuffer(_get(folder, f"{name}.ids"), kind)
                 found = index.find(index.keys)
-                rows = [[k for k, _ in index.keys], [start + o for o, _ in found], [n for _, n in found], [zlib.crc32(payload[4 * o : 4 * (o + n)]) for o, n in found]]
+                rows = [[k for k, _ in index.keys], [start + o for o, _ in found], [n for _, n in found], [zlib.crc32(payload[o : o + n].astype("<u4")) for o, n in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
@@ -223,7 +254,7 @@ def _reader(folder: str):
 
 def read_back(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, looked up in the index and read from the files."""
-    files = manifest.select("name", "start").repartition(partitions(manifest.sparkSession), "name")
+    files = manifest.select("name", "start", "kind").repartition(partitions(manifest.sparkSession), "name")
     return files.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -43,5 +43,13 @@ def test_perfect_hash_is_minimal_and_turns_foreign_keys_away(n):
     assert index.find([(i * 7 + 1, 0) for i in range(100)]) == [None] * 100
 
 
+def test_words_encode_like_whole_texts():
+    path, rng = token_files.default_tokenizer(), random.Random(2)
+    letters = "aAbZ 'sS\t\n\x0b\r\x1c\x85\u2003\u0301İΣςÉé中ㄱ😀12<|>endoftext"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(20))) + rng.choice(["", "<|endoftext|>", " <|startoftext|>x"]) for _ in range(4_000)] + [None, ""]
+    assert token_files.Encoder(path, 2, True)(texts) == token_files.Encoder(path, 2, False)(texts)
+    assert token_files.Encoder(path, 70_000, True).kind == "<u4"
+
+
 def test_no_documents(spark):
     assert token_files.report(spark.createDataFrame([], SCHEMA)).count() == 0

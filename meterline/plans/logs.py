@@ -147,7 +147,7 @@ def carry_context(t):
     return rows.select("line", S.file_stem("path").alias("path"), "session", "project", "model")
 
 
-@query("session_title", "SELECT 's' || user_id % 7 || '.jsonl' AS path, left(arg_min(repeat(id || ' ', 60), event_id), 180) AS title FROM {usage_raw} WHERE k % 3 = 0 GROUP BY 1")
+@query("session_title", "SELECT 's' || user_id % 7 || '.jsonl' AS path, arg_min(repeat(id || ' ', 60), event_id) AS title, left(arg_min(repeat(id || ' ', 60), event_id), 180) AS label FROM {usage_raw} WHERE k % 3 = 0 GROUP BY 1")
 def session_title(t):
     text = _json(type=F.expr("IF(k % 3 = 0, 'user', 'assistant')"), message={"content": "=repeat(concat(id, ' '), 60)"})
     return N.session_title(N.parsed(_lines(t.usage_raw, "concat('s', user_id % 7, '.jsonl')", text)))

@@ -105,7 +105,8 @@ def carry_context(
 
 
 def session_title(rows: DataFrame) -> DataFrame:
-    """The first user message of each file, cut to a title."""
+    """[path, title, label]: the first user message of each file, whole for searches and cut to TITLE_LENGTH
+    characters for display."""
     from_user = (
         (_kind() == "user") | (_payload_kind() == "user_message") | (V.text_at("v", "message.role") == "user")
     )
@@ -113,7 +114,8 @@ def session_title(rows: DataFrame) -> DataFrame:
         *[V.filled_at("v", p) for p in ("payload.message", "message.content", "message.content[0].text")]
     )
     told = rows.select("path", "line", F.when(from_user, text).alias("title")).where("title IS NOT NULL")
-    return told.groupBy("path").agg(F.left(F.min_by("title", "line"), F.lit(TITLE_LENGTH)).alias("title"))
+    first = told.groupBy("path").agg(F.min_by("title", "line").alias("title"))
+    return first.withColumn("label", F.left("title", F.lit(TITLE_LENGTH)))
 
 
 def event_rows(rows: DataFrame, agent: str) -> DataFrame:

@@ -19,7 +19,8 @@ class QueryError(ValueError):
 
 @dataclass(frozen=True)
 class Query:
-    """Half-open range [start, end) in epoch ms plus optional equality filters."""
+    """Half-open range [start, end) in epoch ms plus optional equality filters. ``bucket_ms`` sets the width of
+    series buckets; without it the width follows from the range."""
 
     start: int
     end: int
@@ -30,12 +31,15 @@ class Query:
     search: str = ""
     offset_minutes: int = 0
     time_zone: str | None = None
+    bucket_ms: int | None = None
 
     def validate(self) -> "Query":
         if self.start < 0 or self.end <= self.start or self.end > END_OF_TIME:
             raise QueryError("bad range: the start must come before the end")
         if not -1440 <= self.offset_minutes <= 1440:
             raise QueryError("bad offset: at most one day either way")
+        if self.bucket_ms is not None and self.bucket_ms <= 0:
+            raise QueryError("bad bucket: its width must be positive")
         if self.time_zone is not None:
             try:
                 ZoneInfo(self.time_zone)

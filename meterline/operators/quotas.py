@@ -20,11 +20,16 @@ def quota_change_only(obs: DataFrame) -> DataFrame:
 
 
 def latest_quotas(quota: DataFrame, q: Query, size: int = BOARD_SIZE) -> DataFrame:
-    """Newest distinct observations before the end of the range; its start is ignored."""
+    """Newest distinct observations before the end of the range; its start is ignored.
+
+    Copies share their time, so no row older than the ``size`` newest distinct times can be among them: only
+    times are compared first, and payloads only travel from there on.
+    """
     seen = quota.where((F.col("agent") != S.CREDIT_AGENT) & (F.col("ts") < q.end))
     if q.agent is not None:
         seen = seen.where(F.col("agent") == q.agent)
-    return distinct_observations(seen).orderBy(F.col("ts").desc(), "agent", "session", "payload").limit(size)
+    oldest = seen.select("ts").distinct().orderBy(F.col("ts").desc()).limit(size).agg(F.min("ts")).scalar()
+    return distinct_observations(seen.where(F.col("ts") >= oldest)).orderBy(F.col("ts").desc(), "agent", "session", "payload").limit(size)
 
 
 def quota_selection(quota: DataFrame, q: Query) -> DataFrame:

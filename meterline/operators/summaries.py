@@ -128,7 +128,9 @@ def by_month(priced: DataFrame, q: Query, last: bool = True) -> DataFrame:
 
 
 def bucket_width(q: Query) -> int:
-    """Minutes up to a day, hours up to 31 days, then whole days with a bounded count."""
+    """The caller's width; else minutes up to a day, hours up to 31 days, then whole days with a bounded count."""
+    if q.bucket_ms is not None:
+        return q.bucket_ms
     span = q.end - q.start
     if span <= DAY:
         return MINUTE
@@ -138,7 +140,7 @@ def bucket_width(q: Query) -> int:
 
 
 def series_spine(spark: SparkSession, q: Query) -> DataFrame:
-    """Every bucket start of the range; at most about two thousand rows."""
+    """Every bucket start of the range; at most about two thousand rows unless the caller sets a width."""
     width, shift = bucket_width(q), q.offset_minutes * MINUTE
     first = (q.start + shift) // width * width - shift
     return spark.range(first, q.end, width, 1).withColumnRenamed("id", "bucket")

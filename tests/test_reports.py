@@ -97,6 +97,15 @@ def test_saturating_totals(rows):
     assert (total.input, total.total_tokens, total.cached) == (top, top, top)
 
 
+def test_the_caller_may_set_the_bucket_width(rows):
+    df = priced(rows, [event("a", 1), event("b", 6_500)])
+    q = Query(0, 10_000, bucket_ms=5_000)
+    points = R.series(df, q).orderBy("bucket").collect()
+    assert [(p.bucket, p.events) for p in points] == [(0, 1), (5_000, 1)]
+    with pytest.raises(Exception, match="bad bucket"):
+        Query(0, 1, bucket_ms=0).validate()
+
+
 def test_query_is_checked_in_order():
     for bad in (dict(start=60000, end=60000), dict(start=-1, end=5), dict(start=0, end=32_503_680_000_001)):
         with pytest.raises(QueryError, match="range"):

@@ -121,23 +121,35 @@ def report(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id",
     return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", F.when(F.col("__size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
 
 
+def _drawn(text: Column) -> Column:
+    """The text, or the words of those of its blocks that are taken as often as ``__turn``.
+
+    Lambdas bind the words and the blocks, so that a text is split once and cut block by block.
+    """
+    start, size = F.col("__start"), F.col("__size")
+
+    def cut(words: Column, block: Column) -> Column:
+        low, high = F.greatest(F.lit(0), block * BLOCK - start), F.least(size, (block + 1) * BLOCK - start)
+        return F.slice(words, (low + 1).cast("int"), (high - low).cast("int"))
+
+    on = F.filter("__taken", lambda b: b["times"] >= F.col("__turn"))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    some = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(on, lambda b: cut(w, b["block"]))), " ")), F.lit(0))
+    blocks = F.expr(f"(__start + __size - 1) div {BLOCK} - __start div {BLOCK} + 1")
+    return F.when(F.size(on) == blocks, text).otherwise(some)
+
+
 def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mix as documents, with every column of ``docs``: for each time that blocks of a document are
     taken, a row with the words of these blocks (the text as it is if that is all of them). A length
     column ``n_chars`` is counted anew.
     """
     rows, sources = placed(docs, source_col, id_col, words_in(F.col(text_col)), docs.columns)
-    lists = _times(rows.select("s", "__start", "__size"), sources).groupBy("s", "__start").agg(F.map_from_entries(F.collect_list(F.struct("block", "times"))).alias("__times"))
+    taken = _times(rows.select("s", "__start", "__size"), sources)
+    lists = taken.groupBy("s", "__start").agg(F.array_sort(F.collect_list(F.struct("block", "times"))).alias("__taken"), F.max("times").alias("__turns"))
     rows = rows.where("__size > 0").join(lists, ["s", "__start"])
-    rows = rows.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.map_values("__times")))))
-    words = F.filter(F.split(text_col, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    blocks = F.expr(f"(__start + __size - 1) div {BLOCK} - __start div {BLOCK} + 1")
-    whole = (F.size("__times") == blocks) & (F.array_min(F.map_values("__times")) >= F.col("__turn"))
-    numbers = F.transform(F.expr(f"sequence(__start div {BLOCK}, (__start + __size - 1) div {BLOCK})"), lambda b: F.coalesce(F.element_at("__times", b), F.lit(0)) >= F.col("__turn"))
-    rows = rows.withColumn("__on", numbers)
-    some = F.filter(words, lambda w, i: F.get("__on", F.floor((F.col("__start") % BLOCK + i) / BLOCK).cast("int")))
-    text = F.when(whole, F.col(text_col)).otherwise(F.array_join(some, " "))
-    out = rows.withColumn(text_col, text)
+    rows = rows.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__turns"))))
+    out = rows.withColumn(text_col, _drawn(F.col(text_col)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -106,7 +106,8 @@ def slots(sources: DataFrame, shards: int = OUT_SHARDS) -> DataFrame:
 
 def _times(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """(s, __start, block, words, times) of every block that every document lies in."""
-    times = slots(sources).groupBy("s", "block").agg(F.count("*").alias("times"))
+    # Spark takes the slots for as few as the sources they are exploded from, and would broadcast them
+    times = slots(sources).groupBy("s", "block").agg(F.count("*").alias("times")).hint("merge")
     pieces = rows.where("__size > 0").select("s", "__start", "__size", F.explode(F.expr(f"sequence(__start div {BLOCK}, (__start + __size - 1) div {BLOCK})")).alias("block"))
     words = F.least(F.col("__start") + F.col("__size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("__start"), F.col("block") * BLOCK)
     return pieces.select("s", "__start", "block", words.alias("words")).join(times, ["s", "block"])
@@ -117,7 +118,7 @@ def report(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id",
     rows, sources = placed(docs, source_col, id_col, words_in(F.col(text_col)), [])
     rows = store(rows, "mix-streams")
     taken = _times(rows, sources).groupBy("s", "__start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = rows.join(taken, ["s", "__start"], "left").join(sources.select("s", "source_size", "target"), "s")
+    out = rows.join(taken.hint("merge"), ["s", "__start"], "left").join(sources.select("s", "source_size", "target"), "s")
     return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", F.when(F.col("__size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
 
 
@@ -147,7 +148,7 @@ def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", t
     rows, sources = placed(docs, source_col, id_col, words_in(F.col(text_col)), docs.columns)
     taken = _times(rows.select("s", "__start", "__size"), sources)
     lists = taken.groupBy("s", "__start").agg(F.array_sort(F.collect_list(F.struct("block", "times"))).alias("__taken"), F.max("times").alias("__turns"))
-    rows = rows.where("__size > 0").join(lists, ["s", "__start"])
+    rows = rows.where("__size > 0").join(lists.hint("merge"), ["s", "__start"])
     rows = rows.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__turns"))))
     out = rows.withColumn(text_col, _drawn(F.col(text_col)))
     if "n_chars" in docs.columns:

@@ -15,7 +15,7 @@ forest of its links, not all pairs; the components are those of all links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -203,14 +203,14 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every column and one document of each group: the one with the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """``docs`` with every column and one document of each group of ``grouped``: the one with the smallest id.
 
     Where several texts share that id, one of them stays; of rows repeated as they are, one stays. A row
     without an id stays only if no document of its group has one. Only ids and hashes are grouped; the
     texts meet the ids to keep in one join.
     """
-    groups = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    groups = grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
     keep = first.select(F.col("k.doc_id").alias("__keep_id"), F.col("k.text_hash").alias("__keep_hash"))
     key = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))]

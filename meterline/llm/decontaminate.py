@@ -6,7 +6,8 @@ is a whole shorter item), its words are hit. Hit spans can be cut out of the tex
 with too large a hit share dropped.
 
 The automaton holds at most ``BLOCK_WORDS`` item words, so what is broadcast has a fixed bound;
-a larger benchmark is taken in several blocks, each streamed against all documents.
+a larger benchmark is taken in several blocks, each streamed against all documents; what they hit is merged
+before anything is cut or dropped, so results don't depend on the blocks.
 
 Defined cases: a null or empty text has no words and is clean; null or wordless items match
 nothing; repeated items count once per item id, repeated documents are judged each; an empty
@@ -21,6 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import columns, ids_and_texts
 
@@ -238,20 +240,32 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def _cutter(block, window: int, drop_share: float, at: int):
+def _cutter(block, window: int, drop_share: float, at: int, names: list[str], spans_col: str, last: bool):
+    """Adds the block's hits to the spans in the last column; after the last block texts are cut and spans go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = ItemAutomaton(block.value, window)
         for batch in batches:
-            kept, texts = [], []
-            for i, text in enumerate(batch.column(at).to_pylist()):
+            kept, texts, found = [], [], []
+            earlier = batch.column(batch.num_columns - 1).to_pylist() if batch.num_columns > len(names) else [()] * batch.num_rows
+            for i, (text, old) in enumerate(zip(batch.column(at).to_pylist(), earlier, strict=True)):
                 words = item_words(text)
                 spans, _ = automaton.scan(words)
+                if old:
+                    spans = merged(spans + [[s["start"], s["end"]] for s in old])
+                if not last:
+                    found.append([{"start": s, "end": e} for s, e in spans])
+                    continue
                 if spans and sum(e - s for s, e in spans) > drop_share * len(words):
                     continue
                 kept.append(i)
                 texts.append(cut(text, spans) if spans else text)
-            out = batch.take(pa.array(kept, pa.int64()))
-            yield out.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            own, fields = list(batch.columns[: len(names)]), list(batch.schema)[: len(names)]
+            if not last:
+                yield pa.RecordBatch.from_arrays([*own, pa.array(found, _SPANS)], schema=pa.schema([*fields, pa.field(spans_col, _SPANS)]))
+                continue
+            out = pa.RecordBatch.from_arrays(own, schema=pa.schema(fields)).take(pa.array(kept, pa.int64()))
+            yield out.set_column(at, fields[at], pa.array(texts, fields[at].type))
 
     return run
 
@@ -275,8 +289,12 @@ def cut(text: str, spans: list[list[int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = DROP_SHARE, text_col: str = "text") -> DataFrame:
     """``docs`` with every column: hit spans are cut out of the text; a document of whose words more
-    than ``drop_share`` are hit goes."""
-    out = docs
-    for block in _blocks(benchmark):
-        out = out.mapInArrow(_cutter(docs.sparkSession.sparkContext.broadcast(block), window, drop_share, docs.columns.index(text_col)), docs.schema)
+    than ``drop_share`` are hit goes. Spans of all blocks are gathered on the text as it came before either."""
+    out, names, spark = docs, docs.columns, docs.sparkSession
+    spans = next(n for n in ("__spans" + "_" * i for i in range(len(names) + 1)) if n.lower() not in {c.lower() for c in names})
+    with_spans = StructType([*docs.schema.fields, StructField(spans, ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))])
+    blocks = [spark.sparkContext.broadcast(block) for block in _blocks(benchmark)]
+    for i, block in enumerate(blocks):
+        last = i + 1 == len(blocks)
+        out = out.mapInArrow(_cutter(block, window, drop_share, names.index(text_col), names, spans, last), docs.schema if last else with_spans)
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_session
-from . import decontaminate, html_text, kd_shards, mixing, pii, quality, repeats, simhash, token_files, urls
+from . import decontaminate, html_text, kd_shards, mixing, pii, quality, repeats, simhash, token_files, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,11 @@ def op10_simhash(table):
     return simhash.report(table("documents"))
 
 
+@query
+def op13_warc(table):
+    return warc.report(table("pages"))
+
+
 ORACLES["op3_decontaminate"] = r"""
 WITH d AS (
  SELECT doc_id, rowid AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -110,3 +115,16 @@ kept AS (
   list_filter(d.w, lambda x, i: NOT list_contains(coalesce(gone.ps, []), i)) AS k FROM d LEFT JOIN gone ON gone.r = d.r)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
 """
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v{g} >> {5 * (3 - k)}) & 31 AS BIGINT) + 1, 1)" for g in range(8) for k in range(4)
+)
+_HEXADECIMAL = ", ".join(f"CAST('0x' || substr(x, {5 * g + 1}, 5) AS BIGINT) AS v{g}" for g in range(8))
+ORACLES["op13_warc"] = f"""
+WITH p AS (SELECT page_id, row_number() OVER () AS r, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, r, t, sha1(t) AS x FROM p),
+v AS (SELECT *, {_HEXADECIMAL} FROM h),
+f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY page_id NULLS LAST, r) AS k, first_value(page_id) OVER (PARTITION BY t ORDER BY page_id NULLS LAST, r) AS a FROM v)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+ CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN a END AS refers_to FROM f
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_session
-from . import decontaminate, html_text, kd_shards, mixing, pii, quality, repeats, simhash, token_files, urls, warc
+from . import alignment, decontaminate, html_text, kd_shards, mixing, pii, quality, repeats, simhash, token_files, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,11 @@ def op10_simhash(table):
     return simhash.report(table("documents"))
 
 
+@query
+def op12_alignment(table):
+    return alignment.report(table("documents"))
+
+
 @query
 def op13_warc(table):
     return warc.report(table("pages"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_session
-from . import alignment, decontaminate, html_text, kd_shards, mixing, pii, quality, repeats, simhash, token_files, urls, warc
+from . import alignment, decontaminate, html_text, kd_shards, mixing, pii, quality, repeats, simhash, spelling, token_files, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,11 @@ def op10_simhash(table):
     return simhash.report(table("documents"))
 
 
+@query
+def op11_spelling(table):
+    return spelling.report(table("documents"))
+
+
 @query
 def op12_alignment(table):
     return alignment.report(table("documents"))
@@ -133,3 +138,32 @@ f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY page_id NULLS LAST, r
 SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN a END AS refers_to FROM f
 """
+
+ORACLES["op11_spelling"] = r"""
+WITH RECURSIVE t AS (
+ SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (
+ SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' AS d, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+ FROM documents),
+g AS (SELECT d, w, count(*) AS n FROM r WHERE length(w) >= 6 GROUP BY d, w),
+h AS (
+ SELECT w, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(d || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+  ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END))), lambda c, b: xor(c >> 8, t.t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM g, t),
+v AS (
+ SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM h) s
+ GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+x AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v) s),
+e AS (
+ SELECT a.word AS word, b.word AS near, b.n AS m FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+ UNION SELECT x.word, v.word, v.n FROM x JOIN v ON v.word = x.less
+ UNION SELECT v.word, x.word, x.n FROM x JOIN v ON v.word = x.less),
+b AS (SELECT word, count(*) AS c, max(m) AS m FROM e GROUP BY word),
+f AS (
+ SELECT v.word, v.n, coalesce(b.c, 0) AS n_near, CASE WHEN b.m >= 5 * v.n THEN b.m END AS form_n,
+  CASE WHEN b.m >= 5 * v.n THEN (SELECT min(e.near) FROM e WHERE e.word = v.word AND e.m = b.m) END AS form
+ FROM v LEFT JOIN b USING (word)),
+p AS (SELECT word, word AS root FROM f UNION ALL SELECT p.word, f.form FROM p JOIN f ON f.word = p.root WHERE f.form IS NOT NULL),
+q AS (SELECT p.word, p.root FROM p JOIN f ON f.word = p.root WHERE f.form IS NULL)
+SELECT f.word, f.form, q.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN q USING (word)
+"""

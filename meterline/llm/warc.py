@@ -158,7 +158,7 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
 
 def read_files(names: DataFrame, folder: str) -> DataFrame:
     """(name, header, payload) of all records in the WARC files ``names`` (name) of a folder; a file is one task's stream."""
-    spread = names.select("name").distinct().repartition(partitions(names.sparkSession), "name")
+    spread = names.select("name").distinct().repartition(partitions(names.sparkSession))  # by turns: a key would let Spark keep them in one task
     return spread.mapInArrow(_reader(folder), "name string, header binary, payload binary")
 
 

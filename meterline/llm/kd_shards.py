@@ -44,6 +44,11 @@ def dimensions(docs: DataFrame) -> list[Column]:
     return [make(F.col(name)) for name, make in known.items() if name in docs.columns]
 
 
+def bounded(dim: Column) -> Column:
+    """A dimension within 62 bits, so that differences fit a long; what lies beyond ties at the end, and is parted by hash."""
+    return F.least(F.lit(_MOST), F.greatest(F.lit(_LEAST), F.coalesce(dim, F.lit(_LEAST))))
+
+
 @dataclass
 class Node:
     leaves: int
@@ -74,7 +79,7 @@ class Tree:
     def leaf(self, upto: int | None = None) -> Column:
         """The index of a row's node after the first levels."""
         node = F.lit(0)
-        x, tie = F.array(*(F.greatest(F.lit(_LEAST), F.coalesce(d, F.lit(_LEAST))) for d in self.dims)), self.tie
+        x, tie = F.array(*map(bounded, self.dims)), self.tie
         for level in self.levels[:upto]:
             node = F.element_at(F.transform(F.array(node), _step(level, x, tie)), 1)
         return node
@@ -126,8 +131,7 @@ def _cut(rows: DataFrame, open_: dict[int, dict], key: str) -> None:
 
 def build(docs: DataFrame, shards: int, size: Column, tie: Column, dims: list[Column]) -> Tree:
     names = [f"x{i}" for i in range(len(dims))]
-    floor = lambda d: F.greatest(F.lit(_LEAST), F.coalesce(d, F.lit(_LEAST)))
-    rows = store(docs.select(size.alias("size"), tie.alias("tie"), *(floor(d).alias(n) for n, d in zip(names, dims, strict=True))), "shard-metadata")
+    rows = store(docs.select(size.alias("size"), tie.alias("tie"), *(bounded(d).alias(n) for n, d in zip(names, dims, strict=True))), "shard-metadata")
     stored = Tree([F.col(n) for n in names], F.col("tie"))
     tree = Tree(dims, tie, stored.levels)
     nodes, spread = [Node(shards)], None
@@ -186,14 +190,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     tie = F.xxhash64(F.col(id_col), crc, size).bitwiseAND(F.lit((1 << 62) - 1))
     tree = build(docs, shards, size, tie, dims if dims is not None else dimensions(docs))
     chunks = max(1, docs.count() // (shards * CHUNK_ROWS))
-    placed = docs.select(*own, size.alias("size"), crc.alias("text_crc32"), tree.leaf().alias("shard"), F.pmod(tie, F.lit(chunks)).cast("int").alias("__chunk"), tie.alias("__tie"))
-    counts = placed.groupBy("shard", "__chunk").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    order = Window.partitionBy("shard", "__chunk").orderBy("__tie", id_col, "text_crc32", "size")
+    placed = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), size.alias("size"), crc.alias("text_crc32"), tree.leaf().alias("shard"), F.pmod(tie, F.lit(chunks)).cast("int").alias("chunk"), tie.alias("tie"))
+    counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("shard", "chunk").orderBy("tie", "id", "text_crc32", "size")
     return (
-        placed.withColumn("__rank", F.row_number().over(order)).join(starts, ["shard", "__chunk"])
-        .select(*own, "size", "text_crc32", "shard", (F.col("__start") + F.col("__rank") - 1).alias("slot"))
+        placed.withColumn("rank", F.row_number().over(order)).join(starts, ["shard", "chunk"])
+        .select("row.*", "size", "text_crc32", "shard", (F.col("start") + F.col("rank") - 1).alias("slot"))
     )
 
 

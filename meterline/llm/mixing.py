@@ -19,9 +19,10 @@ by ``report`` and kept by ``mixed``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import store
+from .common import partitions
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
@@ -30,6 +31,7 @@ OUT_SHARDS = 64
 ROUNDS = 24
 SEED = 42
 CHUNK_ROWS = 8_192
+TASK_SLOTS = 4_000_000
 
 
 def words_in(text: Column) -> Column:
@@ -65,7 +67,7 @@ def permuted(x: Column, n: Column, s: Column, rounds: int = ROUNDS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), swap)
 
 
-def placed(docs: DataFrame, source_col: str, id_col: str, size: Column, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def placed(docs: DataFrame, source_col: str, id_col: str, size: Column, keep: list[Column]) -> tuple[DataFrame, DataFrame]:
     """The documents with s, __size and __start in their source's stream; and the sources."""
     rows = docs.select(*keep, F.col(source_col).cast("string").alias("__source"), F.col(id_col).cast("long").alias("__id"), size.alias("__size"))
     rows = rows.withColumn("__h", F.xxhash64(F.lit(SEED), "__id", "__size"))
@@ -80,7 +82,12 @@ def placed(docs: DataFrame, source_col: str, id_col: str, size: Column, keep: li
     rows = rows.withColumn("__run", F.sum("__size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
     rows = rows.join(starts.select(F.col("__source").alias("__source2"), F.col("__chunk").alias("__chunk2"), "__base"), F.col("__source").eqNullSafe(F.col("__source2")) & (F.col("__chunk") == F.col("__chunk2")))
     rows = rows.join(sources.select(F.col("source").alias("__source3"), "s"), F.col("__source").eqNullSafe(F.col("__source3")))
-    return rows.select(*keep, "s", "__id", "__size", (F.col("__base") + F.col("__run")).alias("__start")), sources
+    return rows.select(*(["row"] if keep else []), "s", "__id", "__size", (F.col("__base") + F.col("__run")).alias("__start")), sources
+
+
+def numbers(spark: SparkSession, total: int) -> DataFrame:
+    """0 .. total - 1, in tasks of a bounded count."""
+    return spark.range(0, total, 1, max(partitions(spark), total // TASK_SLOTS))
 
 
 def slots(sources: DataFrame, shards: int = OUT_SHARDS) -> DataFrame:
@@ -92,7 +99,7 @@ def slots(sources: DataFrame, shards: int = OUT_SHARDS) -> DataFrame:
     up_to = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     spans = wanted.withColumn("high", F.sum("n").over(up_to)).withColumn("low", F.col("high") - F.col("n"))
     cells = spans.select("s", "low", "high", F.explode(F.expr(f"sequence(low div {cell}, (high - 1) div {cell})")).alias("cell"))
-    draws = spark.range(total).select(F.pmod("id", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), F.lit(max(1, total))).alias("u"))
+    draws = numbers(spark, total).select(F.pmod("id", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), F.lit(max(1, total))).alias("u"))
     drawn = draws.withColumn("cell", F.expr(f"u div {cell}")).join(cells, "cell").where("low <= u and u < high").groupBy("shard", "s").agg(F.count("*").alias("c"))
     missed = wanted.join(drawn.select("s").distinct(), "s", "left_anti").select(F.pmod(F.xxhash64("s"), F.lit(shards)).cast("int").alias("shard"), "s", F.lit(1).cast("long").alias("c"))
     drawn = drawn.unionByName(missed).join(wanted, "s")
@@ -100,7 +107,11 @@ def slots(sources: DataFrame, shards: int = OUT_SHARDS) -> DataFrame:
     run, all_ = F.sum("c").over(by_shard.rowsBetween(Window.unboundedPreceding, 0)), F.sum("c").over(Window.partitionBy("s"))
     scaled = drawn.withColumns({"run": run, "all": all_}).select(
         "shard", "s", "blocks", F.expr("cast(round(cast(run - c as double) * n / all) as long)").alias("lo"), F.expr("cast(round(cast(run as double) * n / all) as long)").alias("hi"))
-    each = scaled.where("hi > lo").select("shard", "s", "blocks", F.explode(F.expr("sequence(lo, hi - 1)")).alias("slot"))
+    shares = scaled.where("hi > lo").join(spans.select("s", F.col("low").alias("base")), "s").select("shard", "s", "blocks", "base", (F.col("base") + F.col("lo")).alias("low"), (F.col("base") + F.col("hi")).alias("high"))
+    cell = max(1, total // (4 * kinds * shards + 1_024))
+    cells = shares.select("*", F.explode(F.expr(f"sequence(low div {cell}, (high - 1) div {cell})")).alias("cell"))
+    cells = store(cells, "mix-cells")  # a few rows per source and shard; stored, so that Spark knows their size
+    each = numbers(spark, total).withColumn("cell", F.expr(f"id div {cell}")).join(cells, "cell").where("low <= id and id < high").select("shard", "s", "blocks", (F.col("id") - F.col("base")).alias("slot"))
     return each.select("shard", "s", "slot", permuted(F.expr("slot % blocks"), F.col("blocks"), F.col("s")).alias("block"))
 
 
@@ -145,12 +156,13 @@ def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", t
     taken, a row with the words of these blocks (the text as it is if that is all of them). A length
     column ``n_chars`` is counted anew.
     """
-    rows, sources = placed(docs, source_col, id_col, words_in(F.col(text_col)), docs.columns)
+    rows, sources = placed(docs, source_col, id_col, words_in(F.col(text_col)), [F.struct(*docs.columns).alias("row")])
     taken = _times(rows.select("s", "__start", "__size"), sources)
     lists = taken.groupBy("s", "__start").agg(F.array_sort(F.collect_list(F.struct("block", "times"))).alias("__taken"), F.max("times").alias("__turns"))
     rows = rows.where("__size > 0").join(lists.hint("merge"), ["s", "__start"])
     rows = rows.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__turns"))))
-    out = rows.withColumn(text_col, _drawn(F.col(text_col)))
+    out = rows.withColumn("text", _drawn(F.col("row")[text_col].cast("string")))
+    new = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

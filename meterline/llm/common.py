@@ -9,8 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-VOCABULARY = 1_000_000
-"""Words a Python worker remembers the hash of before it starts over; results don't depend on it."""
+CACHE_BYTES = 32 << 20
+"""About what a Python worker keeps of words and what it knows of them before it starts over; results don't depend on it."""
+ENTRY_BYTES = 150
+"""What an entry of such a store takes beside the word."""
 
 
 def partitions(spark: SparkSession) -> int:
@@ -28,11 +30,15 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """XXH64 of words, remembered within a worker."""
+    """XXH64 of words, remembered within a worker up to CACHE_BYTES."""
+
+    held = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= VOCABULARY:
+        self.held += len(word) + ENTRY_BYTES
+        if self.held > CACHE_BYTES:
             self.clear()
+            self.held = len(word) + ENTRY_BYTES
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 

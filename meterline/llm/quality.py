@@ -150,9 +150,10 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The documents that are kept, with every column. They are measured a second time where they are read, so no text is shuffled."""
     measures = store(measured(docs, id_col, text_col, stratum_col), "quality-measures")
-    cutoffs = certified(measures, labels).withColumnRenamed("stratum", "__stratum").withColumnRenamed("cutoffs", "__cutoffs")
+    cutoffs = certified(measures, labels).select(F.col("stratum").alias("own"), "cutoffs")
     stratum = F.col(stratum_col).cast("string") if stratum_col in docs.columns else F.lit(None).cast("string")
-    at, width = docs.columns.index(text_col), len(docs.columns)
+    docs_columns = docs.columns
+    at, width = docs_columns.index(text_col), len(docs_columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Measure()
@@ -161,7 +162,9 @@ def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for text, cut in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
                 (n, *_, repeats), signals = measure(text)
                 keep.append(n >= MIN_WORDS and 100 * repeats <= 50 * n and not (cut and any(s > c for s, c in zip(signals, cut, strict=True))))
-            yield batch.select(range(width)).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(range(width)).rename_columns(docs_columns).filter(pa.array(keep, pa.bool_()))
 
-    joined = docs.join(cutoffs, F.coalesce(stratum, F.lit("\0")) == F.col("__stratum"), "left").select(*(docs[c] for c in docs.columns), "__cutoffs")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(stratum, F.lit("\0")).alias("own"))  # no column can clash
+    names = [f"c{i}" for i in range(width)]
+    joined = rows.join(cutoffs, "own", "left").select(*(F.col("row")[c].alias(n) for c, n in zip(docs.columns, names, strict=True)), "cutoffs")
     return joined.mapInArrow(run, docs.schema)

@@ -212,8 +212,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     """
     groups = grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
-    keep = first.select(F.col("k.doc_id").alias("__keep_id"), F.col("k.text_hash").alias("__keep_hash"))
-    key = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))]
-    kept = docs.join(keep, key[0].eqNullSafe(F.col("__keep_id")) & (key[1] == F.col("__keep_hash")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    return kept.withColumn("__turn", turn).where("__turn = 1").drop("__turn")
+    keep = first.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"))
+    key = [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash")]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *key)  # no column can clash
+    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("id", "hash").orderBy("id", "hash"))
+    return kept.withColumn("turn", turn).where("turn = 1").select("row.*")

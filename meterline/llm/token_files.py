@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_path, store
-from .common import VOCABULARY, ids_and_texts, mixed, partitions, words_of
+from .common import CACHE_BYTES, ENTRY_BYTES, ids_and_texts, mixed, partitions, words_of
 
 END_ID = 2
 FILE_IDS = 16_000_000
@@ -165,7 +165,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.word_wise, self.known = Tokenizer.from_file(tokenizer_path), word_wise, {}
+        self.tokenizer, self.word_wise, self.known, self.held = Tokenizer.from_file(tokenizer_path), word_wise, {}, 0
         self.kind = "<u2" if max(end_id, self.tokenizer.get_vocab_size() - 1) < 1 << 16 else "<u4"
         self.end = np.array([end_id], self.kind).tobytes()
 
@@ -175,10 +175,12 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if not self.word_wise:
             return [ids + self.end for ids in self._encode([t or "" for t in texts])]
-        if len(self.known) >= VOCABULARY:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         split = [words_of(t) for t in texts]
         new = [*set().union(*split).difference(self.known)]
+        self.held += sum(map(len, new)) + len(new) * ENTRY_BYTES
         self.known.update(zip(new, self._encode([w.decode("utf-8", "surrogatepass") for w in new]), strict=True))
         of = self.known.__getitem__
         return [b"".join([*map(of, words), self.end]) for words in split]

@@ -106,5 +106,16 @@ def test_groups_by_halving_are_the_shared_ends():
         assert [a_ends[i - 1] for i in ends[0]] == [b_ends[i - 1] for i in ends[1]] == shared
 
 
+def test_common_letters_encode_as_by_the_tokenizer():
+    model, rng = alignment.ByteLevel(alignment.default_tokenizers()[0]), random.Random(3)
+    assert model.ranked is not None
+    every = [chr(c) for c in range(0x250)]
+    pieces = [*every, *"aeiou  \n\t'", "'ll", "'S", "  \n ", "\u00a0", "\x85", "\x1c", "²", "ª", "the", " and", "<|endoftext|>"] + ["e"] * 300 + [" "] * 200
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(60))) for _ in range(5_000)] + [f"a{c}b {c}{c} 1{c}'s" for c in every]
+    assert not any(map(alignment._UNCOMMON.search, texts))
+    assert model.encode(texts) == model._encode([f" {t}" for t in texts])
+    assert model.encode(["中文 a", "a", "\u0250"]) == model._encode([" 中文 a", " a", " \u0250"])
+
+
 def test_no_documents(spark):
     assert alignment.report(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -21,9 +21,11 @@ def stream_ingest(spark: SparkSession, roots: str, glob: str, read: Callable[[li
     """Ingests until a listing shows nothing new: new and grown files are read again whole through ``read``
     (paths to rows with a path), and their rows give way to the new ones. Call it again for what comes later.
     """
-    total = {"read": 0, "vanished": 0}
+    total = {"read": 0, "failed": 0, "vanished": 0}
     while any((done := refresh(spark, roots, glob, read, sink, agent, winners=False)).values()):
         total = {k: total[k] + done[k] for k in total}
+        if not done["read"] + done["vanished"]:
+            break  # only failures, which wait for their time
     return total
 
 

@@ -26,18 +26,18 @@ def test_files_that_grow_change_and_vanish(spark, tmp_path):
     one.write_text("e1,1\ne2,2\n")
     two.write_text("e2,5\ne3,3\n")
     go = lambda: RF.refresh(spark, str(source), "*.txt", reader(spark), sink, "log")
-    assert go() == {"read": 2, "vanished": 0} and go() == {"read": 0, "vanished": 0}
+    assert go() == {"read": 2, "failed": 0, "vanished": 0} and go() == {"read": 0, "failed": 0, "vanished": 0}
     assert ids(RF.current_rows(spark, sink, "winners")) == [("e1", 1), ("e2", 5), ("e3", 3)]
     with one.open("a") as file:
         file.write("e4,4\ne3,9\n")
-    assert go() == {"read": 1, "vanished": 0}
+    assert go() == {"read": 1, "failed": 0, "vanished": 0}
     assert ids(RF.current_rows(spark, sink)) == [("e1", 1), ("e2", 2), ("e2", 5), ("e3", 3), ("e3", 9), ("e4", 4)]
     assert ids(RF.current_rows(spark, sink, "winners")) == [("e1", 1), ("e2", 5), ("e3", 9), ("e4", 4)]
     two.unlink()
-    assert go() == {"read": 0, "vanished": 1}
+    assert go() == {"read": 0, "failed": 0, "vanished": 1}
     assert ids(RF.current_rows(spark, sink, "winners")) == [("e1", 1), ("e2", 2), ("e3", 9), ("e4", 4)]
     one.rename(source / "a.gone")
-    assert go() == {"read": 0, "vanished": 0}  # an empty listing retracts nothing
+    assert go() == {"read": 0, "failed": 0, "vanished": 0}  # an empty listing retracts nothing
     assert len(ids(RF.current_rows(spark, sink))) == 4
 
 

@@ -136,14 +136,17 @@ _TOTALS = ", ".join(f"lag({c}) OVER w AS p_{c[2:]}" for c in ("c_input", "c_cach
 u AS (SELECT *, n = 1 OR c_input < p_input OR c_output < p_output AS own FROM s
  WHERE NOT (n > 1 AND c_input = p_input AND c_cached = p_cached AND c_cache_write = p_cache_write AND c_output = p_output AND c_reasoning = p_reasoning))
 SELECT id, CASE WHEN own THEN last_output ELSE greatest(c_output - p_output, 0) END AS output,
- CASE WHEN own THEN last_cached ELSE least(greatest(c_cached - p_cached, 0), greatest(c_input - p_input, 0)) END AS cached FROM u""")
+ CASE WHEN own THEN last_cached ELSE least(greatest(c_cached - p_cached, 0), greatest(c_input - p_input, 0)) END AS cached,
+ CASE WHEN own THEN last_input ELSE greatest(c_input - p_input, 0) - least(greatest(c_cached - p_cached, 0), greatest(c_input - p_input, 0)) END AS input,
+ CASE WHEN own THEN last_cache_write ELSE greatest(c_cache_write - p_cache_write, 0) END AS cache_write,
+ CASE WHEN own THEN last_reasoning ELSE greatest(c_reasoning - p_reasoning, 0) END AS reasoning FROM u""")
 def stream_delta(t):
     source, sink, mark = [scratch_path(t.spark, n) for n in ("in", "sink", "mark")]
     samples = t.counters.select("id", F.col("session").alias("path"), F.expr("CAST(substring(id, 2) AS BIGINT)").alias("line"), *J.COUNTERS, *J.LAST)
     middle = samples.agg(F.expr("CAST(avg(line) AS BIGINT)").alias("m")).first()["m"]
     for stream in _in_two(t, samples, f"line < {middle or 0}", source):
         J.stream_delta(stream, sink, mark)
-    return t.spark.read.parquet(f"{sink}/usage").select("id", "output", "cached")
+    return t.spark.read.parquet(f"{sink}/usage").select("id", *TOKENS)
 
 
 @query("stream_elect", f"SELECT {_COLS} FROM {{usage_events}}")

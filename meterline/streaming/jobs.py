@@ -7,14 +7,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
-from ..operators.counters import COUNTERS, cumulative_delta
+from ..operators.counters import COUNTERS
 from ..operators.elect import first_by
-from ..operators.ordered import LINES_PER_SLICE
-from .logs import BATCH, compact, drop_before, newest_batch, read_log, run_available, write_batch
+from .counters import TOKENS, Differences
+from .logs import BATCH, compact, read_log, run_available, write_batch
 from .refresh import current_rows, refresh
 
 LAST = ("last_input", "last_cached", "last_cache_write", "last_output", "last_reasoning")
-TOKENS = ("input", "cached", "cache_write", "output", "reasoning")
 
 
 def stream_ingest(spark: SparkSession, roots: str, glob: str, read: Callable[[list[str]], DataFrame], sink: str, agent: str = "log") -> dict[str, int]:
@@ -33,36 +32,34 @@ def ingested(spark: SparkSession, sink: str) -> DataFrame:
     return current_rows(spark, sink)
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_delta(samples: DataFrame, sink: str, checkpoint: str, spelling: str | None = None):
-    """Running totals to per-request usage across batches, by the batch operator's own rules.
+    """Running totals to per-request usage across batches, by the batch operator's own rules, appended to ``sink``/usage.
 
-    The state is one sample per path, kept as one snapshot beside the output; a batch reads the snapshot
-    before it and writes its own, so the cost of a batch doesn't grow with their number. A batch joins
-    the state to its own samples, so a busy path is sliced like in batch mode. Samples of a path arrive
-    in order.
+    ``transformWithState`` keeps the last sample of each path in RocksDB under the checkpoint, so a batch costs what
+    its rows cost however many paths there are, and a restart goes on where the checkpoint ends. Samples of a
+    path arrive in order of their batches; within a batch they may come in any order of line.
     """
     columns = ["path", "line", *COUNTERS, *([spelling] if spelling else []), *LAST]
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark, folder = batch.sparkSession, f"{sink}/state"
-        at = newest_batch(spark, folder, batch_id)
-        state = spark.createDataFrame([], batch.schema) if at is None else spark.read.schema(batch.schema).parquet(f"{folder}/{BATCH}={at}")
-        touched = batch.select("path").dropDuplicates()
-        before = state.join(touched, ["path"], "left_semi").withColumn("_new", F.lit(False))
-        both = batch.withColumn("_new", F.lit(True)).unionByName(before)
-        usage = cumulative_delta(both, ["path"], ["line"], spelling, LINES_PER_SLICE)
-        write_batch(usage.where("_new AND input IS NOT NULL").drop("_new"), f"{sink}/usage", batch_id)
-        rest = [c for c in batch.columns if c != "path"]
-        tail = batch.groupBy("path").agg(F.max_by(F.struct(*rest), "line").alias("_t")).select("path", "_t.*")
-        others = state.join(touched, ["path"], "left_anti")
-        write_batch(others.unionByName(tail.select(batch.columns)), folder, batch_id)
-        if at is not None:
-            drop_before(spark, folder, at)  # the snapshot before stays, for a repeat of this batch
-
     missing = [c for c in columns if c not in samples.columns]
     if missing:
         raise ValueError(f"samples lack {missing}")
-    return run_available(samples, handle, checkpoint)
+    spark = samples.sparkSession
+    names = [*samples.columns, *TOKENS]
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema.fields), *(f"{t} long" for t in TOKENS)])
+    state = ", ".join(f"{c} long" for c in (*COUNTERS, *([spelling] if spelling else [])))
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)  # the only store that this operator works with
+    try:
+        usage = samples.groupBy("path").transformWithStateInPandas(Differences(names, state, spelling), fields, "Append", "None")
+        query = usage.writeStream.format("parquet").option("path", f"{sink}/usage").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before)
+    return query
 
 
 def _winning(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

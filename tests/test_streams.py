@@ -67,18 +67,29 @@ def test_late_and_repeated_rows_in_election_and_series(spark, tmp_path):
     assert found() == want
 
 
-def test_counter_state_is_one_snapshot(spark, tmp_path):
-    from meterline.operators.counters import COUNTERS, cumulative_delta
+def counter_rows():
+    """Totals that rise, repeat, fall and change their spelling, for three paths."""
+    from meterline.operators.counters import COUNTERS
 
-    schema = "path string, line long, " + ", ".join(f"{c} long" for c in (*COUNTERS, *J.LAST))
     width = len(COUNTERS) + len(J.LAST)
     total = lambda n: [n * 10] * len(COUNTERS) + [5] * (width - len(COUNTERS))
-    rows = [(f"p{i % 3}", i, *total(i if i != 13 else 2)) for i in range(24)]
+    rows = [[f"p{i % 3}", i, *total(i if i not in (13, 16) else 2), 1 + (i > 18)] for i in range(24)]
+    rows[9][2:7] = rows[6][2:7]
+    rows[20][-1] = None
+    return [tuple(r) for r in rows], "path string, line long, " + ", ".join(f"{c} long" for c in (*COUNTERS, *J.LAST, "spelling"))
+
+
+def test_counters_across_batches_and_restarts(spark, tmp_path):
+    from meterline.operators.counters import cumulative_delta
+
+    rows, schema = counter_rows()
     folder, sink = str(tmp_path / "in"), str(tmp_path / "sink")
-    for at in range(0, 24, 4):
-        J.stream_delta(batch(spark, folder, rows[at : at + 4], schema), sink, f"{tmp_path}/m")
-    assert len(logs.batches(spark, f"{sink}/state")) <= 2
-    columns = ["path", "line", "input", "cached", "cache_write", "output"]
+    for at in range(0, 24, 4):  # every call is a restart from the checkpoint
+        part = [rows[at + 3], *rows[at : at + 3]]
+        J.stream_delta(batch(spark, folder, part, schema), sink, f"{tmp_path}/m", "spelling")
+    columns = ["path", "line", "input", "cached", "cache_write", "output", "reasoning"]
     key = lambda df: sorted(map(tuple, df.select(*columns).collect()))
-    whole = cumulative_delta(spark.createDataFrame(rows, schema), ["path"], ["line"], None, 100).where("input IS NOT NULL")
+    whole = cumulative_delta(spark.createDataFrame(rows, schema), ["path"], ["line"], "spelling", 100).where("input IS NOT NULL")
     assert key(spark.read.parquet(f"{sink}/usage")) == key(whole)
+    state = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/m")
+    assert state.count() == 3  # a row per path, whatever came before

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import records as D, scalars as S, text as T, variants as V
 from ..session import store
+from ..sources.normalize import malformed_count
 from .ordered import LINES_PER_SLICE, with_carried, with_previous, with_running_sum, with_run_id
 from .tree import resolve_ends
 
@@ -532,8 +533,12 @@ def session_meta(rows: DataFrame) -> DataFrame:
     return heads.join(gits, ["path"], "left").withColumn("cwd", F.coalesce("cwd", "project_path"))
 
 
-def replay_summary(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per file: span, time to the first token, and counts."""
+def replay_summary(rows: DataFrame, events: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row per file: span, time to the first token, where it ran, tokens by kind (input includes cache), known
+    cost, models and projects in order, counts, and how many lines the file has and how many can't be read.
+
+    ``events`` are the file's own usage rows with their price, ``lines`` its lines as scanned.
+    """
     span = rows.groupBy("path").agg(F.min("ts").alias("start_ms"), F.max("ts").alias("end_ms"))
     count = lambda name: F.count(F.lit(1)).alias(name)
     texted = messages(rows).where("kind != 'system'")
@@ -545,22 +550,26 @@ def replay_summary(rows: DataFrame, events: DataFrame) -> DataFrame:
     tools = tool_calls(rows).groupBy("path").agg(count("tools"), F.count_if(F.col("is_error")).alias("_te"))
     fixes = patches(rows).groupBy("path").agg(count("patches"), F.count_if(F.col("is_error")).alias("_pe"))
     errors = rows.where("kind = 'error'").groupBy("path").agg(count("_ee"))
-    used = events.groupBy("path").agg(F.min("ts").alias("_first"), S.saturating_sum(S.total_tokens()).alias("total_tokens"))
+    whole_input = S.total_tokens("input", "cached", "cache_write", F.lit(0).cast("bigint"))
+    used = events.groupBy("path").agg(
+        F.min("ts").alias("_first"), S.saturating_sum(whole_input).alias("input"),
+        *[S.saturating_sum(c).alias(c) for c in ("cached", "output", "reasoning")],
+        S.saturating_sum(S.total_tokens()).alias("total_tokens"), F.sum("cost").alias("_cost"),
+        F.collect_set("model").alias("_models"), F.collect_set("project").alias("_projects"),
+    )
+    read = malformed_count(lines).join(lines.groupBy("path").agg(F.max("line").alias("raw_lines")), ["path"])
     out = span
-    for part in (turns, kept, tools, fixes, errors, unknown_types(rows), used):
+    for part in (session_meta(rows), turns, kept, tools, fixes, errors, unknown_types(rows), used, read):
         out = out.join(part, ["path"], "left")
-    zero = F.lit(0).cast("bigint")
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<string>")
     n = lambda c: F.coalesce(F.col(c), zero)
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(none)
+    names = lambda c, *more: F.array_sort(F.array_distinct(F.concat(F.coalesce(c, none), *map(one, more))))
     gap = lambda a, b: F.when((F.col(b) - F.col(a)).isNotNull(), F.greatest(F.col(b) - F.col(a), zero))
     return out.select(
         "path", "start_ms", "end_ms", gap("start_ms", "end_ms").alias("duration_ms"), gap("start_ms", "_first").alias("first_token_ms"),
-        *[n(c).alias(c) for c in ("turns", "messages", "tools", "patches")],
-        (n("_te") + n("_pe") + n("_ee")).alias("errors"), n("unknown_types").alias("unknown_types"), n("total_tokens").alias("total_tokens"),
+        "cwd", "cli_version", "git", names("_models").alias("models"), names("_projects", "project_path").alias("projects"),
+        *[n(c).alias(c) for c in ("input", "cached", "output", "reasoning", "total_tokens")], S.money(F.coalesce("_cost", F.lit(0.0))).alias("cost"),
+        *[n(c).alias(c) for c in ("turns", "messages", "tools", "patches")], (n("_te") + n("_pe") + n("_ee")).alias("errors"),
+        n("unknown_types").alias("unknown_types"), n("malformed").alias("malformed_lines"), n("raw_lines").alias("raw_lines"),
     )
-
-
-def replay_names(events: DataFrame) -> DataFrame:
-    """Distinct models and projects per file in long form; array them at the sink if needed."""
-    models = events.select("path", F.lit("model").alias("dim"), F.col("model").alias("name"))
-    projects = events.select("path", F.lit("project").alias("dim"), F.col("project").alias("name"))
-    return models.unionByName(projects).dropDuplicates()

@@ -50,6 +50,7 @@ def transcript_lines(t):
         at(view.where("k % 2 = 0"), 1, _item("ts", type="message", role="user", content="=concat('hi ', k % 3)")),
         at(view, 2, _message("ts", type="agent_message", message="=concat('ok ', k)")),
         at(view.where("k % 7 = 0"), 3, _message("ts", type="=concat('mystery', k % 2)")),
+        at(view.where("k % 11 = 0"), 4, F.lit('{"type":"event_msg",')),
         at(click, 0, _item("ts", type="function_call", name="exec_command", call_id="=id", arguments="""=concat('{"cmd":"cat f', k, '"}')""")),
         at(click, 1, _item("ts + 100", type="function_call_output", call_id="=id", output=said)),
         at(open_cell, 2, _item("ts + 200", type="function_call", name="write_stdin", call_id="=concat(id, 'w')", arguments="""=concat('{"session_id":"c', event_id, '","chars":"y"}')""")),
@@ -84,9 +85,15 @@ _X = """(SELECT *, 'r/' || session || '.jsonl' AS path, 10 * event_id + 100 AS b
  FROM {usage_raw} WINDOW w AS (PARTITION BY session ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
-@query("turn_assign", f"SELECT path, base AS line, turn_id FROM {_X} x")
+# Which lines an event has after its first, as transcript_lines writes them.
+_MORE = {1: "event_type IN ('signup', 'click') OR (event_type = 'view' AND k % 2 = 0)", 3: "(event_type = 'view' AND k % 7 = 0) OR (event_type = 'click' AND k % 4 = 0)",
+         2: "event_type = 'view' OR (event_type = 'signup' AND k % 2 = 0) OR (event_type = 'click' AND k % 4 = 0)"}
+
+
+@query("turn_assign", f"SELECT path, base AS line, turn_id FROM {_X} x UNION ALL SELECT DISTINCT 'r/' || session || '.jsonl', 1, 'Ungrouped' FROM {{usage_raw}} "
+       + " ".join(f"UNION ALL SELECT path, base + {j}, turn_id FROM {_X} x WHERE {test}" for j, test in _MORE.items()))
 def turn_assign(t):
-    return _rows(t).where("line % 10 = 0").select("path", "line", "turn_id")
+    return _rows(t).select("path", "line", "turn_id")
 
 
 _TURNS = f"""SELECT path, turn_id, max(CASE WHEN event_type = 'signup' THEN ts END) AS start_ms,
@@ -198,16 +205,30 @@ def replay_meta(t):
     return Y.session_meta(_rows(t)).select("path", "cwd", "cli_version", F.col("git")["branch"].alias("branch"))
 
 
-@query("replay_summary", f"""SELECT path, min(ts) AS start_ms,
+_USED = f"""SELECT c.*, (input * ri + cached * rc + output * ro) / 1e6 / CASE currency WHEN 'CNY' THEN 6.7521 ELSE 1 END AS cost FROM (
+ SELECT *, CASE turn_id WHEN 'Ungrouped' THEN 'unknown' ELSE 'glm-5.3-flash' END AS model, CASE WHEN project = '' THEN '' ELSE regexp_extract(rtrim(replace(project, '{{BS}}', '/'), '/'), '[^/]+$') END AS name
+ FROM {_X} x WHERE event_type = 'purchase' AND input + cached + output > 0) c
+ LEFT JOIN {{named_spans}} s ON s.name = c.model AND c.ts >= s.from_ms AND c.ts < s.to_ms"""
+
+
+@query("replay_summary", f"""WITH u AS (SELECT path, min(ts) AS first, CAST(sum(input + cached) AS BIGINT) AS input, CAST(sum(cached) AS BIGINT) AS cached, CAST(sum(output) AS BIGINT) AS output,
+  CAST(sum(reasoning) AS BIGINT) AS reasoning, CAST(sum(input + cached + output) AS BIGINT) AS total_tokens, sum(cost) AS cost, string_agg(DISTINCT model, ',' ORDER BY model) AS models FROM ({_USED}) c GROUP BY path),
+p AS (SELECT path, string_agg(DISTINCT name, ',' ORDER BY name) AS projects FROM (SELECT path, name FROM ({_USED}) c UNION SELECT path, project FROM {_X} x WHERE project <> '') n GROUP BY path),
+s AS (SELECT path, max(nullif(project, '')) AS cwd, max(user_id) AS user_id, min(ts) AS start_ms,
  max(CASE WHEN event_type = 'signup' AND k % 2 = 0 THEN ts + k * 10 WHEN event_type = 'click' THEN ts + CASE WHEN k % 4 = 0 THEN 300 ELSE 100 END ELSE ts END) AS end_ms,
  count(DISTINCT CASE WHEN event_type <> 'purchase' THEN turn_id END) AS turns, 2 * count(*) FILTER (event_type = 'view') AS messages,
  count(*) FILTER (event_type = 'click') AS tools, count(*) FILTER (event_type = 'error' AND k % 2 = 1) AS patches,
  count(*) FILTER ((event_type = 'error' AND (k % 2 = 0 OR k % 3 <> 0)) OR (event_type = 'click' AND k % 4 = 2)) AS errors,
- count(DISTINCT CASE WHEN event_type = 'view' AND k % 7 = 0 THEN k % 2 END) AS unknown_types,
- CAST(coalesce(sum(input + cached + output) FILTER (event_type = 'purchase'), 0) AS BIGINT) AS total_tokens FROM {_X} x GROUP BY path""")
+ count(DISTINCT CASE WHEN event_type = 'view' AND k % 7 = 0 THEN k % 2 END) AS unknown_types, count(*) FILTER (event_type = 'view' AND k % 11 = 0) AS malformed_lines,
+ max(base + CASE WHEN event_type = 'view' AND k % 11 = 0 THEN 4 {' '.join(f'WHEN {_MORE[j]} THEN {j}' for j in (3, 2, 1))} ELSE 0 END) AS raw_lines FROM {_X} x GROUP BY path)
+SELECT s.path, start_ms, end_ms, end_ms - start_ms AS duration_ms, CASE WHEN first IS NOT NULL THEN greatest(first - start_ms, 0) END AS first_token_ms, cwd, '1.2' AS cli_version, 'b' || user_id AS branch,
+ coalesce(models, '') AS models, coalesce(projects, '') AS projects, coalesce(input, 0) AS input, coalesce(cached, 0) AS cached, coalesce(output, 0) AS output, coalesce(reasoning, 0) AS reasoning,
+ coalesce(total_tokens, 0) AS total_tokens, {r6('coalesce(cost, 0)')} AS cost, turns, messages, tools, patches, errors, unknown_types, malformed_lines, raw_lines
+FROM s LEFT JOIN u ON u.path = s.path LEFT JOIN p ON p.path = s.path""")
 def replay_summary(t):
-    rows = Y.replay_summary(_rows(t), _events(t))
-    return rows.drop("duration_ms", "first_token_ms")
+    lines = _written(t).withColumn("terminated", F.lit(True))
+    rows = Y.replay_summary(_rows(t), t.price(_events(t)), lines).withColumn("branch", F.col("git")["branch"])
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("models", "projects")}).drop("git")
 
 
 # --- reading order of a conversation ---------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -29,14 +31,35 @@ def export_csv(t):
     return rows.select(*[F.col(f"`{a}`").alias(b) for a, b in named.items()], S.money(cost).alias("cost"))
 
 
-@query("write_tables", "SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS date, count(*) AS events, CAST(sum(output) AS BIGINT) AS output FROM {usage_events} GROUP BY 1")
+# What is compared of each maintained table: all of its columns, as id, path, ts, a number and a text.
+_WRITTEN = {
+    "events": ("usage_events", "id", "path", "ts", "input + 3 * cached + 5 * cache_write + 7 * output + 11 * reasoning", "agent session project model"),
+    "activities": ("activity_copies", "id", "path", "ts", "0", "agent session name"),
+    "quota": ("quota", "''", "path", "ts", "0", "agent session payload"),
+    "credits": ("credits", "request_id", "path", "ts", "requests + 2 * coalesce(billable_requests, 99)", "agent session project model credits original_credits context_usage_ratio"),
+    "source_files": ("source_files", "''", "path", "mtime", "0", "agent title"),
+}
+
+
+def _written_sql(name: str, source: str, text) -> str:
+    _, key, path, ts, n, fields = _WRITTEN[name]
+    return f"SELECT '{name}' AS tbl, {key} AS id, {path} AS path, {ts} AS ts, CAST({n} AS BIGINT) AS n, {text(fields.split())} AS text FROM {source}"
+
+
+def _text(kind: str):
+    value = lambda c: f"CAST(CAST({c} AS DECIMAL(18,6)) AS {kind})" if c in ("credits", "original_credits", "context_usage_ratio") else c
+    return lambda fields: " || '|' || ".join(f"coalesce({value(c)}, '~')" for c in fields)
+
+
+@query("write_tables", " UNION ALL ".join(_written_sql(n, f"{{{v[0]}}}", _text("VARCHAR")) for n, v in _WRITTEN.items()))
 def write_tables(t):
+    """All tables published twice, the first time some of them in part; the newest version is read back whole."""
     folder = scratch_path(t.spark, "tables")
-    W.write_tables({"events": t.usage_events, "source_files": t.source_files}, folder)
-    rows = t.spark.read.option("basePath", f"{folder}/events").parquet(f"{folder}/events")
-    return rows.groupBy(F.col("date").cast("string").alias("date")).agg(
-        F.count(F.lit(1)).alias("events"), F.sum("output").alias("output")
-    )
+    tables = {name: getattr(t, source[0]) for name, source in _WRITTEN.items()}
+    W.write_tables({"events": tables["events"].where("ts % 2 = 0"), "quota": tables["quota"]}, folder)
+    W.write_tables(tables, folder)
+    read = W.read_tables(t.spark, folder)
+    return reduce(lambda a, b: a.unionByName(b), [t.spark.sql(_written_sql(n, "{rows}", _text("STRING")), rows=read[n]) for n in _WRITTEN])
 
 
 _PRICES = """{"version":1,"currency":"cny","displayCurrency":"CNY","usdCny":6.7521,"aliases":{"Alias-A":"m-cny"},"models":{

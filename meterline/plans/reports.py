@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -274,13 +275,23 @@ n AS (SELECT *, row_number() OVER (ORDER BY ts DESC, agent, id) AS r, count(*) O
 c AS (SELECT min(r) AS r FROM n WHERE r > 40 AND c > 4)
 SELECT {_ROW}, path FROM n WHERE r > (SELECT r FROM c) ORDER BY r LIMIT 100""")
 def event_page_after(t):
-    """Pages by whole hours, so that the cursor stands among rows of its own time."""
+    """Pages by whole hours, so that the cursor, the first crowded row behind the newest 40, stands among rows of its own time."""
     rows = Q.select_events(t.usage_events, WINDOW).withColumn("ts", F.expr("ts - ts % 3600000"))
     rows = rows.select(*_ROW.split(", "), "path")
     crowded = rows.groupBy("ts").agg(F.count("*").alias("c")).where("c > 4")
-    ahead = pages.newest_first(rows).limit(2_000).join(crowded, "ts", "left").select("ts", "agent", "id", "c")
-    cursor = next((r for i, r in enumerate(pages.newest_first(ahead).collect()) if i >= 40 and r["c"]), None)
-    return pages.page_after(rows, cursor and (cursor["ts"], cursor["agent"], cursor["id"]), 100)
+    key = lambda found: (found[-1]["ts"], found[-1]["agent"], found[-1]["id"]) if found else None
+    newest = pages.newest_first(rows).limit(40).collect()
+    first = pages.page_after(rows.join(crowded, "ts", "left_semi"), key(newest), 1).collect()
+    return pages.page_after(rows, key(first), 100) if first else rows.limit(0)
+
+
+@query("event_page_deep", f"""SELECT {_ROW} FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, agent, id) AS r, count(*) OVER () AS n FROM {{usage_events}} WHERE ts >= {START} AND ts < {END}) x
+ WHERE r BETWEEN 201 AND 300 OR r BETWEEN n // 2 + 1 AND n // 2 + 100 OR r > n - 100""")
+def event_page_deep(t):
+    """Three pages of a table kept in page order: an early one, one in the middle, the last."""
+    kept = pages.in_order(Q.select_events(t.usage_events, WINDOW).select(*_ROW.split(", ")), rows_per_range=5_000)
+    offsets = (200, kept.total // 2, max(0, kept.total - 100))
+    return reduce(lambda a, b: a.unionByName(b), [pages.page_at(t.spark, kept, o, 100) for o in offsets]).distinct()
 
 
 @query("activity_page", f"{_SEMI_SQL} ORDER BY a.ts DESC, a.agent, a.id LIMIT 50 OFFSET 10")

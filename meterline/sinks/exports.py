@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
+from .versions import Tables, Version
 
 
 def _rfc3339(ts: str) -> Column:
@@ -33,18 +34,21 @@ def export_csv(priced: DataFrame, path: str, currency: str = "USD", usd_cny: flo
     ).csv(path)
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """The event table by UTC date. Rows of a date are spread over the writing tasks by a hash
-    of the event, so a busy date is many files and no single task."""
-    dated = events.withColumn("date", S.local_day("ts", "UTC"))
-    spread = dated.repartition("date", F.pmod(F.xxhash64("agent", "id"), F.lit(16)))
-    spread.sortWithinPartitions("date", "ts").write.partitionBy("date").mode("overwrite").parquet(path)
+def write_tables(tables: dict[str, DataFrame], path: str) -> Version:
+    """Publishes all maintained tables as one version below ``path``: a reader gets all of them as of now or all as they were.
 
+    Rows are dealt to writers by bytes (a rebalanced exchange splits what is large and joins what is small). Tables
+    that are not given stay as they are in the version before.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    root = Tables(spark, path)
+    root.clean()
+    base = root.version()
+    return root.publish(base, {name: root.write(name, table.hint("rebalance"), ()) for name, table in tables.items()})
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """All maintained tables below one folder: those with a time by date, the others plain."""
-    for name, table in tables.items():
-        if name == "events":
-            write_events(table, f"{path}/{name}")
-        else:
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+def read_tables(spark: SparkSession, path: str, number: int | None = None) -> dict[str, DataFrame]:
+    """All tables of one version, by default the newest."""
+    root = Tables(spark, path)
+    version = root.version(number)
+    return {name: root.read(version, name) for name in version.tables}

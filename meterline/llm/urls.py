@@ -1,9 +1,13 @@
 """URL filter: longest matching rule, else gradient-boosted trees on lexical features, with DataFrame functions only.
 
-The trees (MLlib, on DataFrames) learn from labelled URLs: length, depth, digit ratio, entropy of the host,
-parameter counts and the like, and how often URLs of the same host suffix were labelled bad. They are fitted on
-about ``SAMPLE`` distinct labelled URLs, those of least hash, so the fit costs the same at any size;
-suffix statistics are counted over all labelled URLs, and every URL is judged.
+The trees (MLlib, on DataFrames) learn from labelled URLs: length, depth, digit ratio, entropy of the host, parameter counts and the
+like, and how often URLs of the same host suffix were labelled bad. A URL meets the statistics of the *other*
+folds while it is learnt from, so its label can't be read off them. A fifth of the labelled URLs is held out, and of these
+the ones that no rule decides choose the cutoff: the lowest score from which at least ``PRECISION`` of at least ``LEAST_HELD`` held-out
+URLs are bad. If there is none, the labels don't follow from URLs, and the trees block nothing.
+
+The trees are fitted on about ``SAMPLE`` distinct labelled URLs, those of least hash, so the fit costs the same at any
+size; suffix statistics and the cutoff are counted over all labelled URLs, and every URL is judged.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged on its
 features; repeated rows are judged each; a URL labelled both ways is bad; without labels of both kinds
@@ -21,6 +25,8 @@ from ..session import store
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 SAMPLE = 20_000
+FOLDS = 5
+PRECISION, LEAST_HELD = 0.8, 20
 TREES, TREE_DEPTH = 12, 3
 SMOOTH = 20
 FEATURES = ("chars", "host_chars", "depth", "digits", "entropy", "params", "query_chars", "labels", "hyphens", "fragment", "suffix_bad", "suffix_seen")
@@ -81,32 +87,55 @@ def _assembler() -> VectorAssembler:
 
 
 class UrlModel:
-    """Suffix statistics and trees; ``trees`` is None where the labels are all alike or missing."""
+    """Suffix statistics, trees and what they are worth on held-out URLs; ``trees`` is None where labels are all alike or
+    missing, ``cutoff`` is None where no score is reliable enough to block by."""
 
     def __init__(self, statistics: DataFrame, rate: float, trees: GBTClassificationModel | None):
         self.statistics, self.rate, self.trees = statistics, rate, trees
+        self.cutoff: float | None = None
+        self.auc: float | None = None
 
     @classmethod
-    def fit(cls, labelled: DataFrame) -> UrlModel:
+    def fit(cls, labelled: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> UrlModel:
         """``labelled``: (url, bad 0 or 1)."""
         distinct = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.max("bad").cast("int").alias("label"))
-        distinct = store(parts(distinct), "url-labels")
-        seen, bad = distinct.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+        ruled = fitting_rule(F.col("host"), F.col("path"), rules).isNotNull()
+        fold = lambda seed: F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(FOLDS)).cast("int")
+        distinct = store(parts(distinct).withColumns({"suffix": suffix(F.col("host")), "fold": fold(1), "held": fold(2) == 0, "ruled": ruled}), "url-labels")
+        train = distinct.where("NOT held")
+        seen, bad = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
         rate = (bad / seen) if seen else 0.0
-        statistics = store(distinct.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.sum("label").alias("bad"), F.count("*").alias("seen")), "url-suffixes")
+        by_fold = store(train.groupBy("suffix", "fold").agg(F.sum("label").alias("bad"), F.count("*").alias("seen")), "url-folds")
+        statistics = store(by_fold.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen")), "url-suffixes")
+        model = cls(statistics, rate, None)
         if bad in (0, seen):
-            return cls(statistics, rate, None)
-        # a URL's own label is taken out of its suffix's statistics before it is learnt from
-        own = statistics.select("suffix", "bad", "seen")
-        sample = distinct.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / seen)) + 1)
-        rows = lexical(sample).withColumn("suffix", suffix(F.col("host"))).join(own, "suffix")
-        rows = rows.withColumns({
-            "suffix_bad": (F.col("bad") - F.col("label") + SMOOTH * rate) / (F.col("seen") - 1 + SMOOTH), "suffix_seen": F.log1p(F.col("seen") - 1)})
+            return model
+        sample = train.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / seen)) + 1)
+        own = by_fold.select("suffix", "fold", F.col("bad").alias("own_bad"), F.col("seen").alias("own_seen"))
+        rows = lexical(sample).join(own, ["suffix", "fold"]).join(statistics, "suffix")
+        others = F.col("seen") - F.col("own_seen")
+        rows = rows.withColumns({"suffix_bad": (F.col("bad") - F.col("own_bad") + SMOOTH * rate) / (others + SMOOTH), "suffix_seen": F.log1p(others)})
         table = store(rows.select("url", "label", *FEATURES), "url-features")
         if table.select("label").distinct().count() < 2:
-            return cls(statistics, rate, None)
+            return model
         ordered = _assembler().transform(table).select("label", "features")
-        return cls(statistics, rate, GBTClassifier(maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=0.2, seed=7, minInstancesPerNode=20).fit(ordered))
+        model.trees = GBTClassifier(maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=0.2, seed=7, minInstancesPerNode=20).fit(ordered)
+        model._weigh(distinct.where("held AND NOT ruled"))
+        return model
+
+    def _weigh(self, held: DataFrame) -> None:
+        """Area under the curve and cutoff from held-out URLs, by a table of at most 1,001 scores."""
+        counts = self.score(held.select("url", "host", "path", "label")).groupBy(F.floor(F.col("score") * 1_000).cast("int").alias("bin")).agg(
+            F.sum("label").alias("bad"), F.count("*").alias("n")).orderBy(F.desc("bin")).collect()
+        bad = all_ = won = 0
+        total_bad, total = sum(r["bad"] for r in counts), sum(r["n"] for r in counts)
+        for r in counts:
+            won += r["bad"] * (total - total_bad - (all_ - bad) - (r["n"] - r["bad"]) / 2)
+            bad, all_ = bad + r["bad"], all_ + r["n"]
+            if all_ >= LEAST_HELD and bad >= PRECISION * all_:
+                self.cutoff = r["bin"] / 1_000
+        if 0 < total_bad < total:
+            self.auc = won / (total_bad * (total - total_bad))
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` (url, host, path) with score, the probability of a bad URL."""
@@ -117,10 +146,11 @@ class UrlModel:
         return self.trees.transform(table).select(*names, vector_to_array("probability")[1].alias("score"))
 
 
-def judge(pages: DataFrame, model: UrlModel, rules: tuple[tuple[str, str], ...] = RULES, cutoff: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, model: UrlModel, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """``pages`` (id and url) with host, path, rule, verdict and score."""
     rows = model.score(parts(pages)).withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") > cutoff, "block").otherwise("allow"))
+    blocks = F.col("score") >= model.cutoff if model.cutoff is not None else F.lit(False)
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(blocks, "block").otherwise("allow"))
     return rows.select(*pages.columns, "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score")
 
 
@@ -131,7 +161,15 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select("url", F.nullif(document, F.lit("")).cast("long").alias("doc_id")).join(marks, "doc_id").select("url", "bad")
 
 
-def report(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def ruled_pages(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """(url, bad) of the URLs that a rule decides."""
+    fit = parts(pages.select("url")).select("url", fitting_rule(F.col("host"), F.col("path"), rules).alias("fit")).where("fit is not null")
+    return fit.select("url", F.when(F.col("fit.verdict") == "block", 1).otherwise(0).alias("bad"))
+
+
+def report(pages: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """``labelled`` (url, bad) adds labelled URLs to those of labelled documents and of rules."""
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    model = UrlModel.fit(labelled_pages(pages, labels))
+    known = labelled_pages(pages, labels).unionByName(ruled_pages(pages))
+    model = UrlModel.fit(known if labelled is None else known.unionByName(labelled.select("url", "bad")))
     return judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")

@@ -198,11 +198,16 @@ def local_month(ts, zone: str | None = None, offset_minutes: int = 0) -> Column:
 
 
 def midnight_ms(day, zone: str | None = None, offset_minutes: int = 0) -> Column:
-    """First instant of a local date."""
+    """First instant of a local date; of two midnights the earlier one, and where a clock change leaves midnight out, the
+    first minute after it that the zone has."""
     naive = F.unix_millis(_c(day).cast("date").cast("timestamp"))
     if zone is None:
         return naive - F.lit(offset_minutes * 60_000).cast("bigint")
-    return F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(naive), zone))
+    at = F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(naive), zone))
+    local = lambda t: F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(t), zone))
+    # inside a gap Spark goes on by the gap's length; the gap's end lies at most that long before
+    beyond = F.array_max(F.filter(F.sequence(F.lit(0), F.greatest((local(at) - naive) / 60_000, F.lit(0)).cast("int")), lambda m: local(at - m * 60_000) >= naive))
+    return F.when(local(at) == naive, at).otherwise(at - beyond.cast("bigint") * 60_000)
 
 
 def day_bounds(key, zone: str | None = None, offset_minutes: int = 0) -> tuple[Column, Column]:

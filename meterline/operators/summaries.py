@@ -274,10 +274,21 @@ def with_shares(rows: DataFrame) -> DataFrame:
     return joined.withColumns({"usage_share": usage, "cost_share": cost}).drop("_tokens", "_cost")
 
 
+DIGITS = 40
+"""Numbers in labels compare by value up to so many digits."""
+
+
+def label_order(label: str = "label") -> Column:
+    """A label as people read it: by the Chinese collation, with runs of digits by value, so m2 comes before m10."""
+    runs = F.regexp_extract_all(label, F.lit(r"(\d+|\D+)"), 1)
+    value = lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), DIGITS, "0")).otherwise(x)
+    return F.collate(F.array_join(F.transform(runs, value), ""), "zh")
+
+
 def sort_summaries(rows: DataFrame, column: str, descending: bool) -> DataFrame:
-    """Unknown values stay last in both directions; equal values order by key."""
+    """Unknown values stay last in both directions; equal values order by key. Labels order by :func:`label_order`."""
     computed = {
-        "cache_hit_rate": S.cache_hit_rate(), "effective_price": S.effective_price(),
+        "cache_hit_rate": S.cache_hit_rate(), "effective_price": S.effective_price(), "label": label_order(),
     }
     value = computed.get(column, F.col(column))
     order = value.desc_nulls_last() if descending else value.asc_nulls_last()

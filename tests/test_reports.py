@@ -1,5 +1,7 @@
 """Golden numbers of pricing, ranges, groups and calendar."""
 
+from datetime import datetime, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +227,27 @@ def test_export_text_is_guarded_and_says_unpriced(spark, rows, tmp_path):
     assert body[0].startswith('"1970-01-01T00:00:01+00:00","a","s","p","none"') and '"unpriced"' in body[0]
     assert '"1970-01-01T00:00:01.500+00:00"' in body[1] and '"\'=1+1"' in body[1] and '"x""y"' in body[1]
     assert '"0.00007000"' in body[1] and '"Q:\\f"' in body[1]
+
+
+@pytest.mark.parametrize("zone, day, start, hours", [
+    ("America/Toronto", "1919-03-31", "1919-03-31T04:30:00", 23.5),  # from 23:30 to 00:30: midnight is left out
+    ("America/Toronto", "1919-03-30", "1919-03-30T05:00:00", 23.5),
+    ("Africa/Cairo", "2024-04-26", "2024-04-25T22:00:00", 23),  # midnight itself is left out
+    ("Pacific/Apia", "2011-12-30", "2011-12-30T10:00:00", 0),  # the whole date is left out
+    ("Pacific/Apia", "2011-12-31", "2011-12-30T10:00:00", 24),
+    ("America/Havana", "2024-11-03", "2024-11-03T04:00:00", 25),  # midnight comes twice
+    ("Asia/Shanghai", "2024-01-05", "2024-01-04T16:00:00", 24),
+])
+def test_days_start_at_the_first_instant_they_have(spark, zone, day, start, hours):
+    row = spark.createDataFrame([(day,)], "day string").select(*(b.alias(n) for b, n in zip(S.day_bounds("day", zone), "ab"))).first()
+    at = datetime.fromisoformat(start).replace(tzinfo=timezone.utc).timestamp() * 1000
+    assert row["a"] == at and row["b"] - row["a"] == hours * 3_600_000
+
+
+def test_labels_sort_as_people_read_them(spark):
+    labels = ["m10", "m2", "M2", "模型10", "模型2", "m002", "b", "a", "B", "", None, "m2"]
+    frame = spark.createDataFrame([(f"k{i:02}", x) for i, x in enumerate(labels)], "key string, label string")
+    up, down = ([(r["label"], r["key"]) for r in R.sort_summaries(frame, "label", d).collect()] for d in (False, True))
+    assert [x for x, _ in up] == ["", "模型2", "模型10", "a", "b", "B", "m2", "m002", "m2", "M2", "m10", None]
+    assert [k for x, k in up if x and x in ("m2", "m002")] == ["k01", "k05", "k11"]  # ties by key
+    assert [x for x, _ in down][0] == "m10" and down[-1][0] is None

@@ -176,10 +176,8 @@ def output_rows(rows: DataFrame) -> DataFrame:
 
 
 def pair_calls(calls: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Each output with the latest earlier call of its id in the file; no call gives NULLs.
-
-    Orphan outputs stay as rows of their own; they are not matched by tool name.
-    """
+    """Each output with the latest earlier call of its id in the file; else with the call of its name that it closes
+    (:func:`match_by_name`); no call gives NULLs."""
     opened = F.struct("turn_id", "name", "arguments", F.col("line").alias("call_line"), "ts", "poll", "cell", "input", "exec")
     marks = calls.where("call_id IS NOT NULL").select("path", "call_id", "line", opened.alias("call"), F.lit(None).cast("bigint").alias("out_line"))
     asks = outputs.where("call_id IS NOT NULL").select(
@@ -187,7 +185,29 @@ def pair_calls(calls: DataFrame, outputs: DataFrame) -> DataFrame:
     )
     paired = with_carried(marks.unionByName(asks), ["path", "call_id"], _LINE, {"opened": F.col("call")}, LINES_PER_SLICE)
     found = paired.where("out_line IS NOT NULL").select("path", F.col("out_line").alias("line"), "opened")
-    return outputs.join(found, ["path", "line"], "left")
+    found = outputs.join(found, ["path", "line"], "left")
+    named = match_by_name(calls, found)
+    return found.join(named, ["path", "line"], "left").withColumn("opened", F.coalesce("opened", "_named")).drop("_named")
+
+
+def match_by_name(calls: DataFrame, found: DataFrame) -> DataFrame:
+    """[path, line, _named]: outputs without a known call close the latest open call of their name in their turn.
+
+    Calls that their own id answers take no part. The others and the outputs are brackets: a running sum per turn
+    and name gives their depth, and an output at depth d closes the last call that went up to d + 1. Sums and the
+    last call per depth are carried over slices, so a turn of very many calls is many tasks.
+    """
+    keys = ["path", "turn_id", "name"]
+    opened = F.struct("turn_id", "name", "arguments", F.col("line").alias("call_line"), "ts", "poll", "cell", "input", "exec")
+    answered = found.where("opened IS NOT NULL").select("path", F.col("opened.call_line").alias("line")).dropDuplicates()
+    orphans = found.where("opened IS NULL").select(*keys, "line")
+    left = calls.join(answered, ["path", "line"], "left_anti").join(orphans.select(*keys).dropDuplicates(), keys, "left_semi")
+    ups = left.select(*keys, "line", F.lit(1).cast("bigint").alias("step"), opened.alias("call"))
+    downs = orphans.select(*keys, "line", F.lit(-1).cast("bigint").alias("step"), F.lit(None).cast(ups.schema["call"].dataType).alias("call"))
+    deep = with_running_sum(ups.unionByName(downs), keys, _LINE, {"depth": F.col("step")}, LINES_PER_SLICE)
+    level = deep.withColumn("level", F.when(F.col("step") == 1, F.col("depth")).otherwise(F.col("depth") + 1))
+    matched = with_carried(level, [*keys, "level"], _LINE, {"_named": F.col("call")}, LINES_PER_SLICE)
+    return matched.where("step = -1 AND _named IS NOT NULL").select("path", "line", "_named")
 
 
 def exec_exits(rows: DataFrame, calls: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T, variants as V
@@ -138,6 +140,35 @@ def tool_calls(t):
     return Y.tool_calls(_rows(t)).select("path", "line", "turn_id", "call_id", "status", "is_error", "duration_ms", "output", "outputs")
 
 
+def _named_rows(t):
+    """Calls of two names; some answered by id, some by outputs that only bear the name, one or two at once, some never."""
+    click, turn = t.usage_raw.where("event_type = 'click'"), t.usage_raw.where("event_type = 'signup'")
+    at = lambda rows, j, value: _lines(rows, _RPATH, value, f"10 * event_id + {100 + j}")
+    name = "=CASE k % 3 WHEN 0 THEN 'Read' ELSE 'Bash' END"
+    bare = _item("ts + 50", type="function_call_output", name=name, output="=concat('out ', k)")
+    parts = [
+        at(turn, 0, _json(timestamp=_iso("ts"), type="turn_context", payload={"turn_id": "=concat('t', event_id)", "model": "m", "cwd": "=project"})),
+        at(click, 0, _item("ts", type="function_call", name=name, call_id="=id", arguments="{}")),
+        at(click.where("k % 4 = 0"), 1, _item("ts + 50", type="function_call_output", call_id="=id", output="=concat('own ', k)")),
+        at(click.where("k % 4 = 1 OR k % 4 = 2"), 1, bare), at(click.where("k % 8 = 5"), 2, bare),
+    ]
+    return Y.turn_assign(Y.records(store(reduce(lambda a, b: a.unionByName(b), parts), "named")))
+
+
+@query("output_name_match", f"""WITH RECURSIVE c AS (SELECT path, base, k, turn_id, CASE k % 3 WHEN 0 THEN 'Read' ELSE 'Bash' END AS name FROM {_X} x WHERE event_type = 'click'),
+e AS (SELECT path, turn_id, name, line, step, row_number() OVER (PARTITION BY path, turn_id, name ORDER BY line) AS n FROM (
+ SELECT path, turn_id, name, base AS line, 1 AS step FROM c WHERE k % 4 <> 0 UNION ALL SELECT path, turn_id, name, base + 1, -1 FROM c WHERE k % 4 = 1 OR k % 4 = 2
+ UNION ALL SELECT path, turn_id, name, base + 2, -1 FROM c WHERE k % 8 = 5) u),
+r AS (SELECT path, turn_id, name, n, line, step, CASE WHEN step = 1 THEN [line] ELSE CAST([] AS BIGINT[]) END AS stack, CAST(NULL AS BIGINT) AS call_line FROM e WHERE n = 1
+ UNION ALL SELECT e.path, e.turn_id, e.name, e.n, e.line, e.step, CASE WHEN e.step = 1 THEN list_append(r.stack, e.line) ELSE r.stack[1:len(r.stack) - 1] END,
+  CASE WHEN e.step = -1 THEN r.stack[len(r.stack)] END FROM r JOIN e ON e.path = r.path AND e.turn_id = r.turn_id AND e.name = r.name AND e.n = r.n + 1)
+SELECT path, line, call_line FROM r WHERE step = -1 UNION ALL SELECT path, base + 1, base FROM c WHERE k % 4 = 0""")
+def output_name_match(t):
+    rows = _named_rows(t)
+    paired = Y.pair_calls(Y.call_rows(rows), Y.output_rows(rows))
+    return paired.select("path", "line", F.col("opened.call_line").alias("call_line"))
+
+
 @query("tool_status", f"""SELECT base + 1 AS line, CASE k % 4 WHEN 0 THEN 'running' WHEN 2 THEN 'failed' WHEN 3 THEN 'stopped' ELSE 'completed' END AS status, k % 4 = 2 AS is_error
  FROM {_X} x WHERE event_type = 'click' UNION ALL SELECT base + 3, 'completed', false FROM {_X} x WHERE event_type = 'click' AND k % 4 = 0""")
 def tool_status(t):

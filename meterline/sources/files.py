@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import percent_decode
+from .frames import scan_frames
 
 # Extensions are matched in any case.
 JSONL = "*.[jJ][sS][oO][nN][lL]"
@@ -31,7 +32,7 @@ def _plain_path(uri: Column) -> Column:
 
 
 def scan_jsonl(
-    spark: SparkSession, roots: Sequence[str] | str, glob: str = JSONL, compressed: bool = False
+    spark: SparkSession, roots: Sequence[str] | str, glob: str = JSONL
 ) -> DataFrame:
     """[path, line, value, terminated]. Bad bytes become U+FFFD, blank lines are skipped but
     keep their number, a byte-order mark is dropped. ``terminated`` tells whether the line
@@ -56,7 +57,7 @@ def scan_jsonl(
     lines = raw.drop("_size").withColumn("_rank", rank).join(starts, ["_uri", "_split"], "left")
     line = F.col("_before") + F.col("_rank")
     # One byte too many means the last line had no newline; a dropped mark hides three bytes.
-    unfinished = F.lit(True) if compressed else F.col("_extra").isin(1, -2)
+    unfinished = F.col("_extra").isin(1, -2)
     value = F.ltrim(F.make_valid_utf8("value"), F.lit("\ufeff"))
     return lines.select(
         _plain_path(F.col("_uri")).alias("path"), line.cast("bigint").alias("line"), value.alias("value"),
@@ -65,12 +66,11 @@ def scan_jsonl(
 
 
 def scan_jsonl_zst(spark: SparkSession, roots: Sequence[str] | str, glob: str = ZSTD) -> DataFrame:
-    """The same over zstd files of many frames; complete frames before a cut one are kept.
-
-    Compressed files have no splits, and whether their last line ended is not known: it is
-    taken as unfinished, so it is never counted as malformed.
-    """
-    return scan_jsonl(spark, roots, glob, compressed=True)
+    """The same over zstd files of many frames, read in ranges of frames; what can be decoded before a cut or damaged
+    frame is kept. ``terminated`` is as exact as for plain files."""
+    rows = scan_frames(list_files(spark, roots, glob))
+    value = F.ltrim(F.make_valid_utf8(F.col("bytes").cast("string")), F.lit("\ufeff"))
+    return rows.select("path", F.col("line").cast("bigint").alias("line"), value.alias("value"), "terminated").where(F.btrim("value", F.lit(" \t\r\n")) != "")
 
 
 def list_files(spark: SparkSession, roots: Sequence[str] | str, glob: str = "*") -> DataFrame:

@@ -1,5 +1,6 @@
 """Log layouts, files and ledgers against the golden numbers."""
 
+import random
 import json
 
 import pytest
@@ -241,3 +242,51 @@ def test_golden_log_of_running_totals(rows):
     events = N.norm_cumulative_log(lines_of(rows, "r/golden.jsonl", log), "codex")["events"].orderBy("line").collect()
     assert [e["input"] + e["cached"] + e["cache_write"] + e["output"] for e in events] == [880_000, 440_000, 240_000, 230_000, 345_000, 223_000]
     assert sum(e["cached"] for e in events) == 1_250_000
+
+
+@pytest.mark.parametrize("range_bytes", [1, 60, 1 << 20])
+def test_zstd_ranges_give_the_lines_of_the_whole_file(spark, tmp_path, monkeypatch, range_bytes):
+    """Lines that cross frames and ranges, blank lines, odd bytes, unfinished and damaged ends."""
+    zstandard = pytest.importorskip("zstandard")
+    from meterline.sources import frames
+
+    monkeypatch.setattr(frames, "RANGE_BYTES", range_bytes)
+    rng = random.Random(range_bytes)
+
+    def pack(data):
+        return zstandard.ZstdCompressor(write_checksum=rng.random() < 0.5, write_content_size=rng.random() < 0.5).compress(data)
+
+    whole = {}
+    for k in range(8):
+        text = "".join(rng.choice(["\n", "a", "é\n", "中", "long " * 50 + "\n", "x" * 9]) for _ in range(120)).encode() + (b"\xff\n" if k % 2 else b"end")
+        cuts = sorted(rng.choices(range(len(text)), k=rng.randrange(12)))
+        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        data = b"".join(pack(p) + (b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc" if rng.random() < 0.2 else b"") for p in parts)
+        (tmp_path / f"f{k}.jsonl.zst").write_bytes(data)
+        whole[f"f{k}.jsonl.zst"] = text
+    (tmp_path / "cut.zst").write_bytes(pack(b"one\ntwo") + pack(b"!\nthree\n" * 99)[:-30])
+    (tmp_path / "bad.zst").write_bytes(pack(b"one\ntwo\nthr") + b"not a frame at all")
+    (tmp_path / "none.zst").write_bytes(b"")
+    whole |= {"cut.zst": b"one\ntwo", "bad.zst": b"one\ntwo\nthr"}
+    want = set()
+    for name, text in whole.items():
+        for i, line in enumerate(text.split(b"\n")):
+            if line.strip(b" \t\r\n"):
+                want.add((name, i + 1, line.decode("utf-8", "replace"), i < text.count(b"\n")))
+    got = {(r["path"].rsplit("/", 1)[1], r["line"], r["value"], r["terminated"]) for r in X.scan_jsonl_zst(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_one_zstd_file_is_many_tasks(spark, tmp_path, monkeypatch):
+    zstandard = pytest.importorskip("zstandard")
+    from meterline.sources import frames
+
+    monkeypatch.setattr(frames, "RANGE_BYTES", 400)
+    pack = zstandard.ZstdCompressor().compress
+    (tmp_path / "one.zst").write_bytes(b"".join(pack(f'{{"n":{i}}}\n'.encode()) for i in range(400)) + pack(b"{broken\n"))
+    with (tmp_path / "one.zst").open("rb") as file:
+        import pyarrow as pa
+
+        assert len(list(frames.frames(pa.PythonFile(file)))) == 401
+    lines = X.scan_jsonl_zst(spark, str(tmp_path))
+    assert lines.count() == 401 and [r["malformed"] for r in N.malformed_count(lines).collect()] == [1]

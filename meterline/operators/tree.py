@@ -70,10 +70,10 @@ def resolve_roots(nodes: DataFrame) -> DataFrame:
 
 
 def resolve_ends(nodes: DataFrame) -> DataFrame:
-    """[id, root, hops] for all nodes ``[id, parent]``: like :func:`resolve_roots` without trails, so a
+    """[id, root, hops, at] for all nodes ``[id, parent]``: like :func:`resolve_roots` without trails, so a
     round holds one row per node whatever the length of the chains.
 
-    A node that has not ended after more hops than there are nodes is on or below a cycle; its root is NULL.
+    A node that has not ended after more hops than there are nodes is on or below a cycle; its root is NULL, and ``at`` is where it stands on it.
     """
     here = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("_here"))
     up = F.when(F.col("_here"), F.col("parent"))
@@ -86,7 +86,7 @@ def resolve_ends(nodes: DataFrame) -> DataFrame:
         stepped = state.where("next IS NOT NULL").join(ahead, F.col("next") == F.col("_id")).select(
             "id", F.col("_next").alias("next"), F.col("_root").alias("root"), (F.col("hops") + F.col("_hops")).alias("hops"))
         state, reach = store(state.where("next IS NULL").unionByName(stepped), "ends"), 2 * reach
-    return state.select("id", "root", "hops")
+    return state.select("id", "root", "hops", F.col("next").alias("at"))
 
 
 def session_forest(nodes: DataFrame) -> DataFrame:
@@ -120,27 +120,18 @@ def session_tree(nodes: DataFrame, selected_path: str) -> DataFrame:
 
 
 def _cycle_family(nodes: DataFrame, start: str) -> DataFrame:
-    """Family of a session on or under a parent cycle: everything below the first session the
-    climb reaches twice. One small job per generation, only for damaged data."""
-    parents = store(nodes.select("id", "parent"), "parents")
-    seen, at = set(), start
-    while at not in seen:
-        seen.add(at)
-        row = parents.where(F.col("id") == at).select("parent").first()
-        if row is None or row["parent"] is None or parents.where(F.col("id") == row["parent"]).isEmpty():
-            break
-        at = row["parent"]
-    family = nodes.where(F.col("id") == at).withColumn("place", F.array(F.struct(F.split("agent_path", "/").alias("parts"), F.col("path"), F.col("id"))))
-    frontier = family
-    while True:
-        above = frontier.select(F.col("id").alias("parent"), F.col("place").alias("_up"))
-        below = nodes.join(above, ["parent"]).join(family.select("id"), ["id"], "left_anti")
-        step = F.struct(F.split("agent_path", "/").alias("parts"), F.col("path"), F.col("id"))
-        frontier = store(below.withColumn("place", F.concat("_up", F.array(step))).select(family.columns), "frontier")
-        if frontier.isEmpty():
-            break
-        family = store(family.unionByName(frontier), "family")
-    return family.withColumns({"root": F.lit(at), "hops": F.size("place").cast("bigint") - 1})
+    """Family of a session on or under a parent cycle: everything below the first session the climb reaches twice.
+
+    Whoever never ends stands on a cycle after as many hops as there are nodes. With the cycles cut, the climb ends at its
+    first session on one; with the family's root cut off, the family is a tree like any other. All by doubling.
+    """
+    edges = nodes.groupBy("id").agg(F.min_by("parent", F.struct("agent_path", "path")).alias("parent"))
+    circling = resolve_ends(edges).where("root IS NULL").select(F.col("at").alias("id"), F.lit(True).alias("_on")).dropDuplicates()
+    cut = edges.join(circling, ["id"], "left").select("id", F.when(F.col("_on").isNull(), F.col("parent")).alias("parent"))
+    top = resolve_ends(cut).where(F.col("id") == start).select("root").first()["root"]
+    loose = nodes.withColumn("_parent", F.col("parent")).withColumn("parent", F.when(F.col("id") != top, F.col("parent")))
+    family = session_forest(loose).where(F.col("root") == top)
+    return family.drop("parent").withColumnRenamed("_parent", "parent")
 
 
 def family_cost(tree: DataFrame, priced: DataFrame) -> DataFrame:

@@ -143,3 +143,15 @@ def test_stream_election_accepts_any_lateness(spark, rows, tmp_path):
         rows(schema, batch).write.mode("append").parquet(source)
         J.stream_elect(spark.readStream.schema(schema).parquet(source), sink, mark)
     assert {(r.id, r.output) for r in J.winners(spark, sink, schema).collect()} == {("1", 40), ("2", 5)}
+
+
+def test_a_long_cycle_with_branches_is_a_family(rows):
+    """A session that hangs on a cycle of 150: the family is all below the first session of the cycle that its climb meets."""
+    links = [(f"c{i:03}", f"c{(i + 1) % 150:03}") for i in range(150)] + [("b1", "c100"), ("b2", "b1"), ("b3", "b1"), ("d", "c120"), ("far", None)]
+    nodes = rows("id string, parent string, agent_path string, path string, depth long", [(i, p, f"/{i}", f"{i}.jsonl", 0) for i, p in links])
+    for start, top in (("b2", "c100"), ("c007", "c007")):
+        family = {r["id"]: r for r in G.session_tree(nodes, f"{start}.jsonl").collect()}
+        assert set(family) == {i for i, _ in links} - {"far"}
+        assert family[top]["hops"] == 0 and all(r["root"] == top for r in family.values())
+        assert family[top]["parent"] == dict(links)[top]
+    assert family["b1"]["hops"] == family["c100"]["hops"] + 1

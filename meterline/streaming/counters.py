@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.counters import COUNTERS
@@ -12,32 +12,31 @@ from ..operators.counters import COUNTERS
 TOKENS = ("input", "cached", "cache_write", "output", "reasoning")
 
 
-def usage_of(samples: pd.DataFrame, before: pd.DataFrame | None, spelling: str | None = None) -> pd.DataFrame:
-    """The batch operator's rules on one path's samples in order: repeats go; the first sample, a reset and a change of
-    spelling take the sample's own usage, all others the clamped difference. ``before`` is the last sample so far."""
+def usage_of(samples: Iterable[Row], last: Row | tuple | None, spelling: str | None = None) -> Iterator[tuple[Row, tuple, tuple]]:
+    """(sample, its usage, what to keep of it) for one path's samples in order, by the batch operator's rules: repeats go;
+    the first sample, a reset and a change of spelling take the sample's own usage, all others the clamped difference.
+    ``last`` is what was kept of the sample before."""
     names = [*COUNTERS, *([spelling] if spelling else [])]
-    held = samples[names] if before is None else pd.concat([before[names], samples[names]], ignore_index=True)
-    prev = held.shift(1)
-    if before is not None:
-        held, prev = held.iloc[1:], prev.iloc[1:]
-    held, prev = held.reset_index(drop=True), prev.reset_index(drop=True)
-    first = pd.Series(False, index=held.index, dtype="boolean")
-    if before is None and len(first):
-        first.iloc[0] = True
-    same = ~first
-    for name in names:
-        same &= (held[name] == prev[name]).fillna(False) | (held[name].isna() & prev[name].isna())
-    own = first | (held["c_input"] < prev["c_input"]) | (held["c_output"] < prev["c_output"])
-    if spelling:
-        own |= held[spelling].between(1, 3) & prev[spelling].between(1, 3) & (held[spelling] != prev[spelling])
-    own = own.fillna(False).astype(bool)
-    step = {c: (held[c] - prev[c]).clip(lower=0) for c in COUNTERS}
-    cached = step["c_cached"].where(step["c_cached"] < step["c_input"], step["c_input"])
-    steps = {"input": step["c_input"] - cached, "cached": cached, "cache_write": step["c_cache_write"], "output": step["c_output"], "reasoning": step["c_reasoning"]}
-    out = samples.reset_index(drop=True)
-    for name in TOKENS:
-        out[name] = steps[name].astype("Int64").mask(own, out[f"last_{name}"].astype("Int64"))
-    return out[~same.astype(bool)]
+    whole, made = COUNTERS.index("c_input"), COUNTERS.index("c_output")
+    fell = lambda now, then: now is not None and then is not None and now < then
+    step = lambda now, then: max(now - then, 0) if now is not None and then is not None else 0
+    last = None if last is None else tuple(last)
+    for row in samples:
+        now = tuple(row[n] for n in names)
+        if last is not None and now == last:
+            continue
+        own = last is None or fell(now[whole], last[whole]) or fell(now[made], last[made])
+        if spelling and not own:
+            a, b = now[-1], last[-1]
+            own = a is not None and b is not None and 1 <= a <= 3 and 1 <= b <= 3 and a != b
+        if own:
+            usage = tuple(row[f"last_{t}"] for t in TOKENS)
+        else:
+            total, cached, written, output, reasoning = (step(x, y) for x, y in zip(now, last[: len(COUNTERS)]))
+            cached = min(cached, total)
+            usage = (total - cached, cached, written, output, reasoning)
+        last = now
+        yield row, usage, now
 
 
 class Differences(StatefulProcessor):
@@ -50,18 +49,13 @@ class Differences(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", self.state)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        samples = pd.concat(list(rows), ignore_index=True).sort_values("line", kind="stable", ignore_index=True)
-        numbers = [*COUNTERS, *([self.spelling] if self.spelling else [])]
-        for name in numbers:
-            samples[name] = samples[name].astype("Int64")
-        before = None
-        if self.last.exists():
-            before = pd.DataFrame([self.last.get()], columns=numbers).astype("Int64")
-        usage = usage_of(samples, before, self.spelling)
-        tail = samples[numbers].iloc[-1]
-        self.last.update(tuple(None if pd.isna(v) else int(v) for v in tail))
-        yield usage[usage["input"].notna()][self.names]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        made, kept = Row(*self.names), None
+        for row, usage, kept in usage_of(sorted(rows, key=lambda r: r["line"]), self.last.get(), self.spelling):
+            if usage[0] is not None:
+                yield made(*(row[n] for n in self.names[: -len(TOKENS)]), *usage)
+        if kept is not None:
+            self.last.update(kept)
 
     def close(self) -> None:
         pass

@@ -54,7 +54,7 @@ def stream_delta(samples: DataFrame, sink: str, checkpoint: str, spelling: str |
     before = spark.conf.get(_STORE)
     spark.conf.set(_STORE, _ROCKS)  # the only store that this operator works with
     try:
-        usage = samples.groupBy("path").transformWithStateInPandas(Differences(names, state, spelling), fields, "Append", "None")
+        usage = samples.groupBy("path").transformWithState(Differences(names, state, spelling), fields, "Append", "None")
         query = usage.writeStream.format("parquet").option("path", f"{sink}/usage").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:

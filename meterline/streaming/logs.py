@@ -34,11 +34,6 @@ def batches(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(p.getName().partition("=")[2]) for p in done)
 
 
-def newest_batch(spark: SparkSession, folder: str, before: int | None = None) -> int | None:
-    numbers = [n for n in batches(spark, folder) if before is None or n < before]
-    return numbers[-1] if numbers else None
-
-
 def read_log(spark: SparkSession, folder: str, schema) -> DataFrame:
     """All rows of all batches with the batch's number, by which folders are pruned."""
     numbers = batches(spark, folder)

@@ -31,10 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_path, store
-from .common import CACHE_BYTES, ENTRY_BYTES, ids_and_texts, mixed, partitions, words_of
+from .common import ENTRY_BYTES, ids_and_texts, mixed, partitions, words_of
 
 END_ID = 2
 FILE_IDS = 16_000_000
+KNOWN_BYTES = 160 << 20
+"""About what a worker keeps of words and their ids, as encoding a word again is dear."""
 _MAGIC = b"IDX1"
 _SPREAD = 2
 
@@ -175,7 +177,7 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if not self.word_wise:
             return [ids + self.end for ids in self._encode([t or "" for t in texts])]
-        if self.held > CACHE_BYTES:
+        if self.held > KNOWN_BYTES:
             self.known.clear()
             self.held = 0
         split = [words_of(t) for t in texts]

@@ -290,3 +290,13 @@ def test_one_zstd_file_is_many_tasks(spark, tmp_path, monkeypatch):
         assert len(list(frames.frames(pa.PythonFile(file)))) == 401
     lines = X.scan_jsonl_zst(spark, str(tmp_path))
     assert lines.count() == 401 and [r["malformed"] for r in N.malformed_count(lines).collect()] == [1]
+
+
+def test_zst_files_of_partitions_without_rows(spark, rows):
+    from types import SimpleNamespace
+
+    from meterline.plans import logs
+
+    raw = rows("id string, session string, ts long", [("e1", "s", 5)]).repartition(4, "id")
+    got = logs.scan_jsonl_zst(SimpleNamespace(spark=spark, usage_raw=raw)).collect()
+    assert [tuple(r) for r in got] == [("e1", "s", 5)]

@@ -27,7 +27,7 @@ _FILE, _LINE = ["path"], ["line"]
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines with their record as VARIANT; lines that are not JSON are gone."""
-    return lines.withColumn("v", V.parse("value")).where("v IS NOT NULL").drop("value")
+    return V.settled(lines.withColumn("v", V.parse("value")), "v").where("v IS NOT NULL").drop("value")
 
 
 def _kind() -> Column:
@@ -54,33 +54,35 @@ def malformed_count(lines: DataFrame) -> DataFrame:
 
     An unfinished last line may still be being written and is not counted.
     """
-    rows = lines.withColumn("v", V.parse("value"))
+    rows = V.settled(lines.withColumn("v", V.parse("value")), "v")
     broken = F.col("v").isNull() & F.col("terminated") & (F.btrim("value", F.lit(S.BLANKS)) != "")
     timeless = F.col("v").isNotNull() & record_ts().isNull() & carries_usage()
     return rows.groupBy("path").agg(F.count_if(broken | timeless).alias("malformed"))
 
 
-def context_of(session_paths: tuple[str, ...] = (), cwd_path: str | None = None) -> dict[str, Column]:
-    """What a record says about the running session, project and model; NULL keeps the last."""
-    kind, payload = _kind(), "payload"
-    cwd = lambda p: F.nullif(S.project_name(V.filled_at("v", p)), F.lit(""))
-    own_session = [V.filled_at("v", p) for p in session_paths]
-    own_project = [cwd(cwd_path)] if cwd_path else []
+def context_of(rows: DataFrame, session_paths: tuple[str, ...] = (), cwd_path: str | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """``rows`` with helper columns, and what a record says about the running session, project and model; NULL keeps the last.
+
+    Fields are only read from records of the types that have them, and once.
+    """
+    kind, payload = F.col("_kind"), "payload"
+    at = lambda p: V.filled_at("v", p)
+    rows = V.settled(rows.withColumns({"_kind": _kind(), "_inner": _payload_kind()}), "_kind", "_inner")
     session = F.coalesce(
-        *own_session,
-        F.when(kind == "session_meta", F.coalesce(V.filled_at("v", f"{payload}.id"), V.filled_at("v", f"{payload}.session_id")))
-        .when(kind == "session", V.filled_at("v", "id")),
+        *[at(p) for p in session_paths],
+        F.when(kind == "session_meta", F.coalesce(at(f"{payload}.id"), at(f"{payload}.session_id"))).when(kind == "session", at("id")),
     )
-    project = F.coalesce(
-        *own_project,
-        F.when(kind.isin("session_meta", "turn_context"), cwd(f"{payload}.cwd")).when(kind == "session", cwd("cwd")),
+    folder = F.coalesce(
+        *([at(cwd_path)] if cwd_path else []),
+        F.when(kind.isin("session_meta", "turn_context"), at(f"{payload}.cwd")).when(kind == "session", at("cwd")),
     )
     model = (
-        F.when(_payload_kind() == "thread_settings_applied", V.filled_at("v", "payload.thread_settings.model"))
-        .when(kind == "turn_context", V.filled_at("v", "payload.model"))
-        .when(kind == "request/header", V.filled_at("v", "data.header.config.model"))
+        F.when(F.col("_inner") == "thread_settings_applied", at("payload.thread_settings.model"))
+        .when(kind == "turn_context", at("payload.model"))
+        .when(kind == "request/header", at("data.header.config.model"))
     )
-    return {"session": session, "project": project, "model": model}
+    rows = V.settled(rows.withColumns({"_session": session, "_folder": folder, "_model": model}).drop("_kind", "_inner"), "_session", "_folder", "_model")
+    return rows, {"session": F.col("_session"), "project": F.nullif(S.project_name("_folder"), F.lit("")), "model": F.col("_model")}
 
 
 def carry_context(
@@ -89,10 +91,10 @@ def carry_context(
     also_model: Column | None = None,
 ) -> DataFrame:
     """Adds session, project and model as known at each line. Blank values never overwrite."""
-    said = context_of(session_paths, cwd_path)
-    if also_model is not None:
-        said["model"] = F.coalesce(also_model, said["model"])
-    carried = with_carried(rows, _FILE, _LINE, said, LINES_PER_SLICE)
+    rows = rows.withColumn("_also", also_model if also_model is not None else F.lit(None).cast("string"))
+    rows, said = context_of(rows, session_paths, cwd_path)
+    said["model"] = F.coalesce("_also", said["model"])
+    carried = with_carried(rows, _FILE, _LINE, said, LINES_PER_SLICE).drop("_session", "_folder", "_model", "_also")
     session = default_session if default_session is not None else S.file_stem("path")
     project = default_project if default_project is not None else F.lit("")
     return carried.withColumns(
@@ -162,19 +164,21 @@ def _plain_tokens(base: str, **names: str) -> Column:
 def norm_cumulative_log(lines: DataFrame, agent: str) -> dict[str, DataFrame]:
     """Records with running totals: events, tool calls and changed quota snapshots."""
     named = F.when(_payload_kind() == "token_count", V.filled_at("v", "payload.info.model"))
-    rows = carry_context(parsed(lines).withColumn("ts", record_ts()), also_model=named)
-    # Four jobs read these rows, so they are parsed and carried once.
-    timed = store(rows, "context").where("ts IS NOT NULL")
-    counts = timed.where(_payload_kind() == "token_count")
-    info = "payload.info"
-    has_total = V.is_object("v", f"{info}.total_token_usage")
-    has_last = V.is_object("v", f"{info}.last_token_usage")
-    usage = counts.select(
-        "path", "line", "ts", "session", "project", "model",
+    counts, info = _payload_kind() == "token_count", "payload.info"
+    has_total = counts & V.is_object("v", f"{info}.total_token_usage")
+    has_last = counts & V.is_object("v", f"{info}.last_token_usage")
+    called = (_kind() == "response_item") & _payload_kind().isin("function_call", "custom_tool_call")
+    rows = parsed(lines).select(
+        "path", "line", "v", record_ts().alias("ts"), counts.alias("_counts"), called.alias("_called"),
         F.when(has_total, S.openai_tokens("v", f"{info}.total_token_usage")).alias("_t"),
         F.when(has_last, S.openai_tokens("v", f"{info}.last_token_usage")).alias("_l"),
         F.when(~has_total & has_last, F.to_json(V.at("v", f"{info}.last_token_usage"))).alias("_text"),
+        F.when(called, V.text_at("v", "payload.name")).alias("name"), F.when(called, V.text_at("v", "payload.call_id")).alias("call_id"),
+        F.when(counts & V.is_object("v", "payload.rate_limits"), F.to_json(V.at("v", "payload.rate_limits"))).alias("payload"),
     )
+    # Several jobs read these rows, so they are parsed and carried once, and only fields are shuffled and kept.
+    timed = store(carry_context(rows, also_model=named).drop("v"), "context").where("ts IS NOT NULL")
+    usage = timed.where("_counts").select("path", "line", "ts", "session", "project", "model", "_t", "_l", "_text")
     total, last = F.col("_t"), F.col("_l")
     samples = usage.where("_t IS NOT NULL").withColumns(
         {
@@ -193,12 +197,8 @@ def norm_cumulative_log(lines: DataFrame, agent: str) -> dict[str, DataFrame]:
     single = _inclusive_tokens(usage.where("_t IS NULL AND _l IS NOT NULL"), F.col("_l")).withColumn(
         "id", F.concat_ws(":", "session", F.col("ts").cast("string"), "_text")
     )
-    calls = timed.where((_kind() == "response_item") & _payload_kind().isin("function_call", "custom_tool_call"))
-    calls = calls.withColumns({"name": V.text_at("v", "payload.name"), "call_id": V.text_at("v", "payload.call_id")})
-    limits = counts.where(V.is_object("v", "payload.rate_limits")).select(
-        "path", F.lit(agent).alias("agent"), "session", "ts", "line",
-        F.to_json(V.at("v", "payload.rate_limits")).alias("payload"),
-    )
+    calls = timed.where("_called")
+    limits = timed.where("payload IS NOT NULL").select("path", F.lit(agent).alias("agent"), "session", "ts", "line", "payload")
     return {
         "events": event_rows(stepped, agent).unionByName(event_rows(single, agent)),
         "activities": activity_rows(calls, agent),
@@ -252,18 +252,18 @@ def norm_callid_log(lines: DataFrame, agent: str) -> dict[str, DataFrame]:
 
 def norm_role_log(lines: DataFrame, agent: str) -> dict[str, DataFrame]:
     """Messages of the assistant; the id is the record's or the response's."""
-    rows = carry_context(parsed(lines)).withColumn("ts", record_ts())
-    said = rows.where(
-        F.col("ts").isNotNull() & (_kind() == "message") & (V.text_at("v", "message.role") == "assistant")
-    )
-    ident = F.coalesce(V.filled_at("v", "id"), V.filled_at("v", "message.responseId"))
-    used = said.where(V.is_object("v", "message.usage") & ident.isNotNull()).withColumns(
-        {"id": F.concat_ws(":", "session", ident), "model": F.coalesce(V.filled_at("v", "message.model"), F.lit(S.UNKNOWN_MODEL))}
-    )
-    usage = _tokens(
-        used,
-        _plain_tokens("message.usage", input="input", cached="cacheRead", cache_write="cacheWrite", output="output", reasoning="reasoning"),
-    )
+    usage = _plain_tokens("message.usage", input="input", cached="cacheRead", cache_write="cacheWrite", output="output", reasoning="reasoning")
+    rows = carry_context(parsed(lines).withColumns(
+        {
+            "ts": record_ts(), "_said": (_kind() == "message") & (V.text_at("v", "message.role") == "assistant"),
+            "_id": F.coalesce(V.filled_at("v", "id"), V.filled_at("v", "message.responseId")),
+            "_named": F.coalesce(V.filled_at("v", "message.model"), F.lit(S.UNKNOWN_MODEL)),
+            "_usage": F.when(V.is_object("v", "message.usage"), usage),
+        }
+    ))
+    said = rows.where("ts IS NOT NULL AND _said")
+    used = said.where("_usage IS NOT NULL AND _id IS NOT NULL").withColumns({"id": F.concat_ws(":", "session", "_id"), "model": F.col("_named")})
+    usage = _tokens(used, F.col("_usage"))
     blocks = _blocks(said, "toolCall", F.col("_i").cast("string"))
     return {"events": event_rows(usage, agent), "activities": activity_rows(blocks, agent)}
 
@@ -300,20 +300,20 @@ def norm_chunk_log(lines: DataFrame, agent: str) -> dict[str, DataFrame]:
 
 def norm_turn_log(lines: DataFrame, agent: str, whole_turn_model: str = "grok") -> dict[str, DataFrame]:
     """Finished turns: one event per model of the turn, or one for the whole turn."""
-    rows = carry_context(
-        parsed(lines), ("params.sessionId",), default_session=S.path_part("path", 2),
-        default_project=S.encoded_dir_project("path"),
-    )
-    timed = rows.withColumn("ts", record_ts()).where("ts IS NOT NULL")
     update = "params.update"
-    done = timed.where(V.text_at("v", f"{update}.sessionUpdate") == "turn_completed")
     per_model = V.map_at("v", f"{update}.usage.modelUsage")
     whole = F.create_map(F.lit(whole_turn_model), V.at("v", f"{update}.usage"))
-    usage_of = F.when(F.size(per_model) > 0, per_model).otherwise(whole)
-    opened = done.select(
-        "path", "line", "ts", "session", "project",
-        F.coalesce(V.text_at("v", f"{update}.prompt_id"), F.to_json(V.at("v", f"{update}.prompt_id")), F.col("ts").cast("string")).alias("_prompt"),
-        F.explode(usage_of).alias("model", "v"),
+    step = V.text_at("v", f"{update}.sessionUpdate")
+    prompt = F.coalesce(V.text_at("v", f"{update}.prompt_id"), F.to_json(V.at("v", f"{update}.prompt_id")))
+    read = parsed(lines).withColumns({"ts": record_ts(), "_step": step, "_prompt": prompt, "_models": per_model}).withColumn(
+        "_usage", F.when(F.col("_step") == "turn_completed", F.when(F.size("_models") > 0, F.col("_models")).otherwise(whole))
+    ).drop("_models")
+    timed = carry_context(
+        read, ("params.sessionId",), default_session=S.path_part("path", 2), default_project=S.encoded_dir_project("path"),
+    ).where("ts IS NOT NULL")
+    opened = timed.where("_step = 'turn_completed'").select(
+        "path", "line", "ts", "session", "project", F.coalesce("_prompt", F.col("ts").cast("string")).alias("_prompt"),
+        F.explode("_usage").alias("model", "v"),
     )
     whole_input = V.count_of("v", "inputTokens")
     cached = F.least(V.count_of("v", "cachedReadTokens"), whole_input)
@@ -325,7 +325,7 @@ def norm_turn_log(lines: DataFrame, agent: str, whole_turn_model: str = "grok")
             V.count_of("v", "outputTokens").alias("output"), V.count_of("v", "reasoningTokens").alias("reasoning"),
         ),
     )
-    calls = timed.where((V.text_at("v", f"{update}.sessionUpdate") == "tool_call") & V.filled_at("v", f"{update}.toolCallId").isNotNull())
+    calls = timed.where((F.col("_step") == "tool_call") & V.filled_at("v", f"{update}.toolCallId").isNotNull())
     calls = calls.withColumns(
         {"name": F.coalesce(V.filled_at("v", f"{update}.title"), V.filled_at("v", f"{update}.kind")), "call_id": V.text_at("v", f"{update}.toolCallId")}
     )
@@ -334,21 +334,21 @@ def norm_turn_log(lines: DataFrame, agent: str, whole_turn_model: str = "grok")
 
 def norm_credit_log(lines: DataFrame, agent: str = S.CREDIT_AGENT) -> dict[str, DataFrame]:
     """Per-request credits; never tokens. Credits without a request id are malformed."""
-    rows = carry_context(parsed(lines), ("sessionId", "session_id"), "cwd").withColumn("ts", record_ts())
     usage = "message.usage"
-    credits = V.number_at("v", f"{usage}.credits")
-    model = F.coalesce(V.text_at("v", "message.model"), F.lit(""))
-    billed = rows.where(
-        F.col("ts").isNotNull() & (_kind() == "assistant") & V.is_object("v", usage) & (model != SYNTHETIC) & (credits >= 0)
-    ).withColumns(
-        {"request_id": F.coalesce(V.filled_at("v", f"{usage}.request_id"), V.filled_at("v", "requestTokenAnchor.requestId")), "model": model}
+    credits, model = V.number_at("v", f"{usage}.credits"), F.coalesce(V.text_at("v", "message.model"), F.lit(""))
+    rows = parsed(lines).withColumns(
+        {
+            "ts": record_ts(), "_billed": (_kind() == "assistant") & V.is_object("v", usage), "_named": model, "credits": credits,
+            "request_id": F.coalesce(V.filled_at("v", f"{usage}.request_id"), V.filled_at("v", "requestTokenAnchor.requestId")),
+            "original_credits": V.number_at("v", f"{usage}.original_credits"), "billable_requests": V.bool_at("v", f"{usage}.billable").cast("bigint"),
+            "context_usage_ratio": V.number_at("v", f"{usage}.context_usage_ratio"),
+        }
     )
+    rows = carry_context(rows, ("sessionId", "session_id"), "cwd")
+    billed = rows.where((F.col("_named") != SYNTHETIC) & F.expr("ts IS NOT NULL AND _billed AND credits >= 0"))
     good = billed.where("request_id IS NOT NULL").select(
-        "path", F.lit(agent).alias("agent"), "request_id", "session", "project", "model", "ts",
-        F.lit(1).cast("bigint").alias("requests"), credits.alias("credits"),
-        V.number_at("v", f"{usage}.original_credits").alias("original_credits"),
-        V.bool_at("v", f"{usage}.billable").cast("bigint").alias("billable_requests"),
-        V.number_at("v", f"{usage}.context_usage_ratio").alias("context_usage_ratio"),
+        "path", F.lit(agent).alias("agent"), "request_id", "session", "project", F.col("_named").alias("model"), "ts",
+        F.lit(1).cast("bigint").alias("requests"), "credits", "original_credits", "billable_requests", "context_usage_ratio",
     )
     bad = billed.where("request_id IS NULL").groupBy("path").agg(F.count(F.lit(1)).alias("malformed"))
     return {"credits": good, "malformed": bad}
@@ -364,7 +364,7 @@ def norm_state_snapshot(rows: DataFrame) -> DataFrame:
 
     A zero total is a valid reset mark. Documents without a session are something else.
     """
-    docs = rows.withColumn("v", V.parse("value"))
+    docs = V.settled(rows.withColumn("v", V.parse("value")), "v")
 
     def usable(c: Column) -> Column:
         fine = V.is_object(c, "") & (V.long_at(c, "input_tokens") >= 0) & (V.long_at(c, "output_tokens") >= 0)
@@ -373,7 +373,7 @@ def norm_state_snapshot(rows: DataFrame) -> DataFrame:
         return fine & (V.count_of(c, "cache_read_input_tokens") <= V.long_at(c, "input_tokens"))
 
     spots = F.array_compact(F.array(*[V.at("v", s) for s in _STATE_SPOTS]))
-    docs = docs.withColumn("_spot", F.try_element_at(F.filter(spots, usable), F.lit(1)))
+    docs = V.settled(docs.withColumn("_spot", F.try_element_at(F.filter(spots, usable), F.lit(1))), "_spot")
     tokens = F.when(F.col("_spot").isNotNull(), S.openai_tokens("_spot", ""))
     shaped = docs.select(
         "path", V.filled_at("v", "sessionId").alias("session"), V.ts_ms("v", "updatedAt").alias("ts"),
@@ -385,7 +385,7 @@ def norm_state_snapshot(rows: DataFrame) -> DataFrame:
         ).alias("project"),
         tokens.alias("t"),
     )
-    good = shaped.where("session IS NOT NULL AND ts > 0 AND t IS NOT NULL")
+    good = V.settled(shaped, "session", "ts", "t").where("session IS NOT NULL AND ts > 0 AND t IS NOT NULL")
     t = F.col("t")
     return good.select(
         "path", "session", "ts", "created_at", "model", "project",
@@ -396,6 +396,6 @@ def norm_state_snapshot(rows: DataFrame) -> DataFrame:
 
 def malformed_states(rows: DataFrame) -> DataFrame:
     """State documents of a session that gave no snapshot."""
-    docs = rows.withColumn("v", V.parse("value"))
+    docs = V.settled(rows.withColumn("v", V.parse("value")), "v")
     suspects = docs.where(F.col("v").isNull() | V.filled_at("v", "sessionId").isNotNull())
     return suspects.select("path").join(norm_state_snapshot(rows).select("path"), ["path"], "left_anti")

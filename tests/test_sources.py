@@ -300,3 +300,10 @@ def test_zst_files_of_partitions_without_rows(spark, rows):
     raw = rows("id string, session string, ts long", [("e1", "s", 5)]).repartition(4, "id")
     got = logs.scan_jsonl_zst(SimpleNamespace(spark=spark, usage_raw=raw)).collect()
     assert [tuple(r) for r in got] == [("e1", "s", 5)]
+
+
+def test_filters_on_fields_dont_parse_again(rows):
+    lines = lines_of(rows, "a", [{"timestamp": TS, "type": "x"}, {"type": "y"}])
+    timed = N.parsed(lines).withColumn("ts", N.record_ts()).where("ts IS NOT NULL")
+    plan = timed._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert timed.count() == 1 and max(plan.count("parse_json("), plan.count("parsejson(")) <= 1, plan

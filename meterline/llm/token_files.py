@@ -21,22 +21,25 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_path, store
-from .common import ENTRY_BYTES, ids_and_texts, mixed, partitions, words_of
+from .common import ENTRY_BYTES, ids_and_texts, mixed, partitions
 
 END_ID = 2
 FILE_IDS = 16_000_000
 KNOWN_BYTES = 160 << 20
 """About what a worker keeps of words and their ids, as encoding a word again is dear."""
+LOT_BYTES = 4 << 20
 _MAGIC = b"IDX1"
 _SPREAD = 2
 
@@ -73,21 +76,22 @@ class PerfectHash:
         order = np.argsort(home, kind="stable")
         sizes = np.bincount(home, minlength=buckets)
         ends = np.cumsum(sizes)
-        for bucket in np.argsort(-sizes, kind="stable").tolist():
-            size = int(sizes[bucket])
-            if size < 2:
-                break
-            own, tries = second[order[ends[bucket] - size : ends[bucket]]], 16
-            base = 0
-            while True:
-                slots = _slot(own[None, :], np.arange(base, base + tries)[:, None], n).astype(np.int64)
+        for size in range(int(sizes.max()), 1, -1):  # buckets of a size move on together; of two that want a slot, the first gets it
+            open_ = np.flatnonzero(sizes == size)
+            own, move = second[order[(ends[open_] - size)[:, None] + np.arange(size)]], np.zeros(len(open_), np.int64)
+            while len(open_):
+                slots = _slot(own, move[:, None], n).astype(np.int64)
                 rows = np.sort(slots, axis=1)
                 good = np.flatnonzero(~taken[slots].any(axis=1) & (rows[:, 1:] != rows[:, :-1]).all(axis=1))
-                if len(good):
-                    break
-                base, tries = base + tries, min(4 * tries, 65_536)
-            moves[bucket] = base + good[0]
-            taken[slots[good[0]]] = True
+                wanted, first_at = np.unique(slots[good], return_index=True)
+                holder = np.zeros(max(1, n), np.int64)
+                holder[wanted] = first_at // size
+                good = good[(holder[slots[good]] == np.arange(len(good))[:, None]).all(axis=1)]
+                moves[open_[good]] = move[good]
+                taken[slots[good]] = True
+                left = np.ones(len(open_), bool)
+                left[good] = False
+                open_, own, move = open_[left], own[left], move[left] + 1
         single = np.flatnonzero(sizes == 1)
         moves[single] = ~np.flatnonzero(~taken[:n])[: len(single)]
         return cls(n, moves)
@@ -172,20 +176,42 @@ class Encoder:
         self.end = np.array([end_id], self.kind).tobytes()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.kind[-1] == "2" and "H" or "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not self.word_wise:
-            return [ids + self.end for ids in self._encode([t or "" for t in texts])]
+            return [ids + self.end for ids in self._encode(texts.to_pylist())]
         if self.held > KNOWN_BYTES:
             self.known.clear()
             self.held = 0
-        split = [words_of(t) for t in texts]
-        new = [*set().union(*split).difference(self.known)]
-        self.held += sum(map(len, new)) + len(new) * ENTRY_BYTES
-        self.known.update(zip(new, self._encode([w.decode("utf-8", "surrogatepass") for w in new]), strict=True))
-        of = self.known.__getitem__
-        return [b"".join([*map(of, words), self.end]) for words in split]
+        split = pc.ascii_split_whitespace(texts)  # at exactly space and \t to \r; it may give empty words, which have no ids
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        own = [*map(self.known.get, words), self.end]  # ids of the lot's words, and the end id as one more word
+        new = [i for i, ids in enumerate(own) if ids is None]
+        for i, ids in zip(new, self._encode([words[i] for i in new]) if new else (), strict=True):
+            own[i] = self.known[words[i]] = ids
+            self.held += len(words[i]) + ENTRY_BYTES
+        width = int(self.kind[-1])
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // width
+        starts = np.cumsum(sizes) - sizes
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        codes = np.insert(coded.indices.to_numpy(), offsets[1:] - offsets[0], len(words))
+        lengths = sizes[codes]
+        ends = np.cumsum(lengths)
+        ids = np.frombuffer(b"".join(own), self.kind)[np.repeat(starts[codes] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = (ends[offsets[1:] - offsets[0] + np.arange(len(texts))] * width).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
+def lots(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are encoded at once, of about LOT_BYTES."""
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)), 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + LOT_BYTES, "right")))
+        yield start, stop
+        start = stop
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -217,9 +243,9 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, word_wise: bool):
             return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["part", "seq", "name", "kind", "n_docs", "n_ids"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start in range(0, len(ids), 256):
-                for doc_id, tokens in zip(ids[start : start + 256], encode(texts[start : start + 256]), strict=True):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for start, stop in lots(texts):
+                for doc_id, tokens in zip(ids[start:stop], encode(texts.slice(start, stop - start)), strict=True):
                     turn = turn + 1 if doc_id == last else 0
                     last = doc_id
                     keys.append((doc_id, turn))

@@ -51,5 +51,18 @@ def test_words_encode_like_whole_texts():
     assert token_files.Encoder(path, 70_000, True).kind == "<u4"
 
 
+def test_lots_are_bounded_and_encode_like_single_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "LOT_BYTES", 50)
+    texts = ["one two", None, "", " three\tthree ", "long " * 40, "é x", *["two one"] * 30]
+    lots = list(token_files.lots(pa.array(texts, pa.string())))
+    assert [i for a, b in lots for i in range(a, b)] == list(range(len(texts)))
+    assert all(b == a + 1 or sum(len((t or "").encode()) for t in texts[a:b]) <= 50 for a, b in lots)
+    encode, plain = token_files.Encoder(token_files.default_tokenizer(), 2, True), token_files.Encoder(token_files.default_tokenizer(), 2, False)
+    assert [ids for a, b in lots for ids in encode(pa.array(texts, pa.string()).slice(a, b - a))] == plain(texts)
+    assert list(token_files.lots(pa.array([], pa.string()))) == []
+
+
 def test_no_documents(spark):
     assert token_files.report(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -33,6 +33,16 @@ SEED = 42
 BANDS = (11, 11, 11, 11, 10, 10)
 LEAF = 64
 SHARD = 4_096
+BLOCK = 256
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        part = np.asarray(hashes[at : at + 65_536], "<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -47,11 +57,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = np.array(hashes[at : at + 65_536], "<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.array(hashes, np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -109,8 +115,21 @@ class Tree:
         return hits
 
 
+def crowded(points: np.ndarray, radius: int) -> np.ndarray:
+    """Indexes of the points that have another one within ``radius``; a shard's points at once, BLOCK by BLOCK."""
+    found = [np.count_nonzero(np.bitwise_count(points[at : at + BLOCK, None] ^ points) <= radius, axis=1) > 1 for at in range(0, len(points), BLOCK)]
+    return np.flatnonzero(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
 def forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links (indexes) that span each component of the points within ``radius`` of each other."""
+    if len(points) <= SHARD:  # most points of a shard are alone: only the others are worth a tree
+        at = crowded(points, radius)
+        return [(int(at[x]), int(at[y])) for x, y in _grown(points[at], radius)]
+    return _grown(points, radius)
+
+
+def _grown(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     tree, links = Tree(points, radius), []
     for seed in range(len(points)):
         if not tree.alive[seed]:
@@ -160,15 +179,18 @@ def _forest_rows(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, bands: tuple[int, ...] = BANDS) -> DataFrame:
     """Links (a, b) between distinct fingerprints that join the same fingerprints as all pairs within ``radius``.
+    ``bands`` cut the 64 bits into ``radius + 2`` pieces or more, so that two are equal in any such pair.
 
     Shards of one fingerprint end in the shuffle's first aggregate and never reach Python. A shard is
     bounded by splitting: one of more than SHARD points is parted again by distance to a vantage point
     into rings as wide as the radius, and each ring is searched with the next one, so border pairs meet.
     """
+    if sum(bands) != 64 or len(bands) < radius + 2:
+        raise ValueError("bands must be radius + 2 or more and hold 64 bits")
     masks, low = [], 0
-    for width in BANDS:
+    for width in bands:
         masks.append(((1 << width) - 1) << low)
         low += width
     keys = [(i, x | y) for i, (x, y) in enumerate(combinations(masks, 2))]

@@ -12,17 +12,22 @@ from ..operators.counters import COUNTERS
 TOKENS = ("input", "cached", "cache_write", "output", "reasoning")
 
 
-def usage_of(samples: Iterable[Row], last: Row | tuple | None, spelling: str | None = None) -> Iterator[tuple[Row, tuple, tuple]]:
-    """(sample, its usage, what to keep of it) for one path's samples in order, by the batch operator's rules: repeats go;
+NUMBERS, USAGE = "a sample's numbers", "a sample's usage"
+"""Columns of text that hold comma-separated numbers (none for null): totals, spelling and own usage; and the usage found.
+Every value that crosses to Python and back as a column of its own costs more than the differences do."""
+
+
+def usage_of(samples: Iterable[tuple[Row, list]], last: tuple | None, spelling: bool = False) -> Iterator[tuple[Row, tuple, tuple]]:
+    """(sample, its usage, what to keep of it) for one path's samples (row, numbers) in order, by the batch operator's rules: repeats go;
     the first sample, a reset and a change of spelling take the sample's own usage, all others the clamped difference.
     ``last`` is what was kept of the sample before."""
-    names = [*COUNTERS, *([spelling] if spelling else [])]
+    width = len(COUNTERS) + spelling
     whole, made = COUNTERS.index("c_input"), COUNTERS.index("c_output")
     fell = lambda now, then: now is not None and then is not None and now < then
     step = lambda now, then: max(now - then, 0) if now is not None and then is not None else 0
     last = None if last is None else tuple(last)
-    for row in samples:
-        now = tuple(row[n] for n in names)
+    for row, numbers in samples:
+        now = tuple(numbers[:width])
         if last is not None and now == last:
             continue
         own = last is None or fell(now[whole], last[whole]) or fell(now[made], last[made])
@@ -30,7 +35,7 @@ def usage_of(samples: Iterable[Row], last: Row | tuple | None, spelling: str | N
             a, b = now[-1], last[-1]
             own = a is not None and b is not None and 1 <= a <= 3 and 1 <= b <= 3 and a != b
         if own:
-            usage = tuple(row[f"last_{t}"] for t in TOKENS)
+            usage = tuple(numbers[width:])
         else:
             total, cached, written, output, reasoning = (step(x, y) for x, y in zip(now, last[: len(COUNTERS)]))
             cached = min(cached, total)
@@ -39,21 +44,26 @@ def usage_of(samples: Iterable[Row], last: Row | tuple | None, spelling: str | N
         yield row, usage, now
 
 
+def _numbers(text: str) -> list:
+    return [int(x) if x else None for x in text.split(",")]
+
+
 class Differences(StatefulProcessor):
     """Usage per sample. A path's rows of one micro-batch are put in order of their line, which the trigger's size bounds;
     state is one row a path, kept by the state store with its change log, so a batch costs what its rows cost."""
 
-    def __init__(self, names: list[str], state: str, spelling: str | None):
-        self.names, self.state, self.spelling = names, state, spelling
+    def __init__(self, others: list[str], state: str, spelling: bool):
+        self.others, self.state, self.spelling = others, state, spelling
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", self.state)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        made, kept = Row(*self.names), None
-        for row, usage, kept in usage_of(sorted(rows, key=lambda r: r["line"]), self.last.get(), self.spelling):
+        made, kept = Row(*self.others, NUMBERS, USAGE), None
+        ordered = sorted(rows, key=lambda r: r["line"])
+        for row, usage, kept in usage_of(((r, _numbers(r[NUMBERS])) for r in ordered), self.last.get(), self.spelling):
             if usage[0] is not None:
-                yield made(*(row[n] for n in self.names[: -len(TOKENS)]), *usage)
+                yield made(*(row[n] for n in self.others), row[NUMBERS], ",".join("" if n is None else str(n) for n in usage))
         if kept is not None:
             self.last.update(kept)
 

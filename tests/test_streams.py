@@ -93,3 +93,19 @@ def test_counters_across_batches_and_restarts(spark, tmp_path):
     assert key(spark.read.parquet(f"{sink}/usage")) == key(whole)
     state = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/m")
     assert state.count() == 3  # a row per path, whatever came before
+
+
+def test_numbers_cross_to_python_as_one_column(spark, tmp_path):
+    """Nulls, other columns and their types come back as they were; the operator itself sees keys, line and one text of numbers."""
+    from meterline.streaming import counters
+
+    _, schema = counter_rows()
+    schema = f"`odd name` double, {schema}, note string"
+    row = lambda path, line, total, note: (line / 2, path, line, *[total] * len(J.COUNTERS), *[None if line == 2 else 7] * len(J.LAST), None, note)
+    part = [row("p", 1, 10, "a,b"), row("p", 2, 4, None), row("p", 3, 9, ""), row("q", 1, 2**60, "x")]
+    J.stream_delta(batch(spark, f"{tmp_path}/in", part, schema), f"{tmp_path}/sink", f"{tmp_path}/m", "spelling")
+    got = spark.read.parquet(f"{tmp_path}/sink/usage")
+    assert got.columns[:3] == ["odd name", "path", "line"] and got.columns[-len(counters.TOKENS) :] == list(counters.TOKENS)
+    rows = sorted(map(tuple, got.select("odd name", "path", "line", "c_input", "last_input", "spelling", "note", "input", "cached").collect()), key=lambda r: (r[1], r[2]))
+    assert rows == [(0.5, "p", 1, 10, 7, None, "a,b", 7, 7), (1.5, "p", 3, 9, 7, None, "", 0, 5), (0.5, "q", 1, 2**60, 7, None, "x", 7, 7)]
+    assert counters.NUMBERS not in got.columns
